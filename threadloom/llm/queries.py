@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii, quality_rules
+from . import bpe, chat_format, decontaminate, langid, pii, quality_rules
 from .common import table
 
 
@@ -60,6 +60,34 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The public vocabulary file of the contracts; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoding of every document, as digests."""
+    coded = bpe.transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item: one row for each such pair."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.fit(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 _SQL2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -109,7 +137,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op7_bpe, op9_decontaminate, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
