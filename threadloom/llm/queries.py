@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, langid, pii, quality_rules
+from . import bpe, chat_format, decontaminate, langid, pii, quality_rules, substring_dedup
 from .common import table
 
 
@@ -60,6 +60,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeated windows of 35 words cover."""
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def vocabulary() -> str:
     """The public vocabulary file of the contracts; operators take its path as a parameter."""
     import public_tokenizers
@@ -136,9 +142,27 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 """
 
 
+_SQL5 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 35], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)
+), rep AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM rep, range(35) r(k)
+), word AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS j FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op7_bpe, op9_decontaminate, op10_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op5_substring_dedup, op7_bpe, op9_decontaminate, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _SQL2, "op3_chat_format": _SQL3}
+    return {"op2_quality_rules": _SQL2, "op3_chat_format": _SQL3, "op5_substring_dedup": _SQL5}
