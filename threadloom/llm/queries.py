@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, langid, pii, quality_rules, substring_dedup
+from . import bpe, chat_format, decontaminate, langid, ngram_join, pii, quality_rules, substring_dedup
 from .common import table
 
 
@@ -60,6 +60,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    found = ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.when(F.col("doc") != ngram_join._NO_ID, F.col("doc")).alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that repeated windows of 35 words cover."""
     out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -142,6 +148,25 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 """
 
 
+_SQL4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, least(len(ws), 1)))) AS i FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 _SQL5 = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -161,8 +186,8 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op5_substring_dedup, op7_bpe, op9_decontaminate, op10_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op4_ngram_join, op5_substring_dedup, op7_bpe, op9_decontaminate, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _SQL2, "op3_chat_format": _SQL3, "op5_substring_dedup": _SQL5}
+    return {"op2_quality_rules": _SQL2, "op3_chat_format": _SQL3, "op4_ngram_join": _SQL4, "op5_substring_dedup": _SQL5}
