@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, langid, ngram_join, pii, quality_rules, substring_dedup
-from .common import table
+from . import bpe, chat_format, decontaminate, langid, lm_score, ngram_join, pii, quality_rules, substring_dedup, token_files
+from .common import shared_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stupid-backoff score of every document against all the others."""
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def vocabulary() -> str:
     """The public vocabulary file of the contracts; operators take its path as a parameter."""
     import public_tokenizers
@@ -87,6 +93,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to shard files and read back."""
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    back = token_files.read(spark, path)
+    return back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), token_files.crc32("ids").alias("ids_crc32"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that cover a benchmark item: one row for each such pair."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -186,7 +200,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op4_ngram_join, op5_substring_dedup, op7_bpe, op9_decontaminate, op10_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_chat_format, op4_ngram_join, op5_substring_dedup, op6_lm_score, op7_bpe, op8_token_files, op9_decontaminate, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
