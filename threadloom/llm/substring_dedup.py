@@ -81,8 +81,9 @@ def estimate(df: DataFrame, text: str = "text") -> sketch.Planes:
 def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
     """Windows estimated repeated, first settled within a task.
 
-    ``n`` is 1 for a window that the task holds once, 2 for one row standing for a window it
-    holds more often, 0 for a run of ``len`` starts that are settled as repeated.
+    The lowest two bits of ``place`` are 1 for a window that the task holds once, 2 for one row
+    standing for a window it holds more often, 0 for a run of ``h2`` starts that are settled as
+    repeated; above them come the start (30 bits) and the text's fingerprint (32).
     """
 
     def settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -100,16 +101,15 @@ def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
         run = np.ones(len(d), bool)
         run[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)
         head = np.flatnonzero(run)
+        place = k.astype(np.int64) << 32 | pos << 2
+        length = np.diff(np.append(head, len(d)))
         zero = np.zeros(len(shared), np.int64)
         return pa.RecordBatch.from_pydict(
             {
                 "h1": np.concatenate((h1[single], h1[shared], tokens.mix(d[head].astype(np.uint64) + p[head].astype(np.uint64)))).astype(np.int64),
-                "h2": np.concatenate((h2[single], h2[shared], tokens.mix(p[head].astype(np.uint64)))).astype(np.int64),
-                "n": np.concatenate((np.ones(len(single)), zero + 2, np.zeros(len(head)))).astype(np.int8),
+                "h2": np.concatenate((h2[single].astype(np.int64), h2[shared].astype(np.int64), length)),
                 "doc": np.concatenate((doc[single], zero, d[head])),
-                "k": np.concatenate((k[single], zero, c[head])).astype(np.int32),
-                "pos": np.concatenate((pos[single], zero, p[head])).astype(np.int32),
-                "len": np.concatenate((np.ones(len(single)), zero, np.diff(np.append(head, len(d))))).astype(np.int32),
+                "place": np.concatenate((place[single] | 1, zero | 2, c[head].astype(np.int64) << 32 | p[head] << 2)),
             }
         )
 
@@ -133,7 +133,7 @@ def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
         if held:
             yield settled(held)
 
-    return rows.mapInArrow(found, "h1 bigint, h2 bigint, n tinyint, doc bigint, k int, pos int, len int")
+    return rows.mapInArrow(found, "h1 bigint, h2 bigint, doc bigint, place bigint")
 
 
 def _cut() -> F.udf:
@@ -164,9 +164,12 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     key = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
     rows = _candidates(df.select(F.col(text).alias("t"), doc.alias("doc"), key.alias("k")), sent)
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    repeated = rows.withColumn("total", total).where((F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") >= 2)))
-    spans = repeated.groupBy(F.col("doc").alias("_d"), F.col("k").alias("_k")).agg(F.collect_list(F.struct("pos", "len")).alias("_spans"))
+    n = F.col("place").bitwiseAND(F.lit(3))
+    total = F.sum(n).over(Window.partitionBy("h1", "h2"))
+    repeated = rows.withColumn("total", total).where((n == 0) | ((n == 1) & (F.col("total") >= 2)))
+    pos = F.shiftright("place", 2).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+    span = F.struct(pos.alias("pos"), F.when(n == 0, F.col("h2")).otherwise(F.lit(1)).cast("int").alias("len"))
+    spans = repeated.groupBy(F.col("doc").alias("_d"), F.shiftright("place", 32).cast("int").alias("_k")).agg(F.collect_list(span).alias("_spans"))
     joined = df.withColumns({"_d": doc, "_k": key}).join(spans, ["_d", "_k"], "left")
     cut = joined.withColumn("_o", _cut()(F.col(text), F.col("_spans"))).drop("_d", "_k", "_spans")
     return cut.withColumns({c: F.col(f"_o.{c}") for c in ("n_words", "n_removed", "kept_text")}).drop("_o")
