@@ -4,23 +4,22 @@ A document's set holds the fingerprints of its distinct five-word shingles; two
 link at Jaccard similarity of at least three quarters. The result is the component of
 each document under links, exactly, without a pair for every link:
 
-1. A count-min sketch of bounded size gives each shingle a class (seen once, a few times,
-   often); counts are only ever overestimated. A set in which fewer than three quarters
-   of the shingles were seen elsewhere can link with nothing and leaves here. Equal sets
-   become one.
-2. Relations between sets. Sets are grouped by a rare shared shingle, a group's first set
-   leads, and a set whose distance (one less the similarity, which is a metric) to its
-   leader is small is absorbed: it links with the leader, and by the triangle
-   inequality whatever it links with is near the leader too. So its answers are derived
-   from its leader's, held against a threshold relaxed by the distance. Groups are split
-   by salts and led in rounds, so that one of any size is never read by one task.
-3. Index. The sets left post the rarest shingles of their prefixes to lists that are cut in
-   blocks by set size; a probe reads the blocks of sizes that can link and skips the others,
-   and a posting is skipped where what follows its position is too short for the overlap
-   needed. Surviving pairs are verified by intersection.
-4. Pairs in reach of the relaxed threshold only are settled by the absorbed sets
-   themselves, those whose distances allow a link, unless their components have met already.
-5. Components by least labels with pointer jumping.
+1. A count-min sketch of bounded size tells which shingles occur more than once; counts are
+   only ever overestimated. A set in which fewer than three quarters of the shingles were
+   seen elsewhere can link with nothing and leaves here. Equal sets become one. What is
+   left is sketched and sifted again, now with several levels of counts.
+2. Relations between sets. Sets are grouped by their least shingle under a hash, those of the
+   commonest shingles first, and held against the first few of the group that link with none
+   before them. A set that links with one of these leaders takes over the leader's answer, its
+   component. Groups are split by salts, whose leaders meet in a second round, so that one
+   of any size is never read by one task.
+3. Index. The rarest shingles of each set's prefix are posted to lists cut in blocks by set
+   size; a probe reads the blocks of sizes that can link and skips the others, skips a posting
+   where what follows its position is too short for the overlap needed, and skips sets whose
+   component it has. Sets of large components are not probed against their own component at all:
+   only pairs of different large components that share a posted shingle are looked up.
+   Surviving pairs are verified by intersection.
+4. Components by least labels with pointer jumping.
 
 Defined cases: null or empty texts have no shingle, link with nothing and stand alone; texts
 of fewer words than a shingle have one shingle, all of their words; repeated rows link;
@@ -43,13 +42,12 @@ from .common import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.75
-#: How far absorbed sets may be from their leader.
-REACH = 0.125
-LEVELS = (2, 8)
+#: Levels of the second sketch: a shingle's class is the number of levels that its count reaches.
+LEVELS = (2, 4, 16, 64, 250)
 #: Sketch buckets for each byte of the input's files: about two for each shingle.
 BUCKETS_A_BYTE = 0.5
-#: Sets of one group that one task compares with their leader.
-GROUP = 20_000
+#: Sets of one group that one task reads, leaders that it holds, and the size from which a component is large.
+GROUP, LEADERS, LARGE = 20_000, 16, 32
 _NO_ID = (1 << 63) - 1
 _EPS = 1e-9
 
@@ -75,14 +73,14 @@ def estimate(df: DataFrame, text: str) -> sketch.Planes:
         for _, run in tokens.raw(batch.column(0)):
             yield np.concatenate(shingle_sets(run))
 
-    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE), 1, LEVELS)
+    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE))
 
 
-_SETS = "doc bigint, k bigint, n bigint, s1 bigint, s2 bigint, n0 int, m0 bigint, m1 bigint, shingles array<bigint>"
+_SETS = "doc bigint, k bigint, n bigint, s1 bigint, s2 bigint, shingles array<bigint>"
 
 
 def _sets(df: DataFrame, sent: Broadcast) -> DataFrame:
-    """Each document's size and set fingerprint; for those that can link also the set itself, rarest first, and two grouping keys."""
+    """Each document's size and set fingerprint; for those that may link also the set itself."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = sent.value
@@ -93,90 +91,109 @@ def _sets(df: DataFrame, sent: Broadcast) -> DataFrame:
                     n = len(s)
                     s1 = int(tokens.mix(s).sum(dtype=np.uint64).astype(np.int64)) if n else 0
                     s2 = int(tokens.mix(s * tokens.LANES[0]).sum(dtype=np.uint64).astype(np.int64)) if n else 0
-                    kind = planes.least(s, 0).astype(np.int8) + planes.least(s, 1)
-                    n0 = int((kind == 0).sum())
-                    if n == 0 or n - n0 < np.ceil(THRESHOLD * n - _EPS):
-                        rows.append((n, s1, s2, n0, None, None, None))
-                        continue
-                    order = s[np.argsort(kind, kind="stable")].astype(np.int64)
-                    m1 = tokens.mix(s[kind > 0]).min()
-                    rows.append((n, s1, s2, n0, int(order[n0]), int(m1.astype(np.int64)), order))
+                    may = n and planes.least(s).sum() >= np.ceil(THRESHOLD * n - _EPS)
+                    rows.append((n, s1, s2, s.astype(np.int64) if may else None))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(rows)),
-                        batch.column(1).slice(begin, len(rows)),
-                        *[pa.array(cols[i], pa.int64()) for i in range(3)],
-                        pa.array(cols[3], pa.int32()),
-                        *[pa.array(cols[i], pa.int64()) for i in (4, 5)],
-                        pa.array(cols[6], pa.list_(pa.int64())),
-                    ],
-                    ["doc", "k", "n", "s1", "s2", "n0", "m0", "m1", "shingles"],
-                )
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                names = [batch.column(i).slice(begin, len(rows)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(names + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "k", "n", "s1", "s2", "shingles"])
 
     return df.mapInArrow(made, _SETS)
 
 
-_ROUND = "id bigint, n bigint, n0 int, m0 bigint, m1 bigint, r double, shingles array<bigint>, to bigint, d double"
+_SIFTED = "id bigint, n bigint, n0 int, m0 bigint, m1 bigint, common double, shingles array<bigint>"
 
 
-def _lead(active: DataFrame, key: str, salts: int) -> DataFrame:
-    """One round: sets near their group's first one are absorbed (``to``, ``d``), the others stay with their sets and radii ``r``."""
+def _sift(sets: DataFrame) -> DataFrame:
+    """The sets of (id, shingles) that can link with another one, rarest shingles first.
 
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, head, lead, radius = None, None, None, 0.0
+    ``n0`` is the number of shingles that no other set has, ``m0`` and ``m1`` are grouping keys,
+    ``common`` is the mean class of the shingles.
+    """
+    size = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).flatten().to_numpy().view(np.uint64)
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.float64())
-            names = ["id", "n", "n0", "m0", "m1", "r", "shingles", "to", "d"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    bits = max(sketch.MIN_BITS, min(sketch.MAX_BITS, (2 * size).bit_length()))
+    sent = sets.sparkSession.sparkContext.broadcast(sketch.build(sets.select("shingles"), keys, bits, 1, LEVELS))
 
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = sent.value
         for batch in batches:
             rows = []
-            plain = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 7)]
-            lists = batch.column(6)
-            for i, (id_, n, n0, m0, m1, r, salt) in enumerate(zip(*plain, strict=True)):
-                own = lists[i].values.to_numpy()
-                at = (m0 if key == "m0" else m1, salt)
-                if at == group:
-                    low, high = min(n, len(lead)), max(n, len(lead))
-                    if 1 - low / high + r <= REACH:
-                        both = len(np.intersect1d(own, lead, assume_unique=True))
-                        d = 1 - both / (n + len(lead) - both)
-                        if d + r <= REACH:
-                            radius = max(radius, d + r)
-                            rows.append((id_, n, n0, m0, m1, r, None, head[0], d))
-                            continue
-                    rows.append((id_, n, n0, m0, m1, r, own, None, None))
+            for id_, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = values.values.to_numpy().view(np.uint64)
+                kind = sum(planes.least(s, i).astype(np.int8) for i in range(len(LEVELS)))
+                n, n0 = len(s), int((kind == 0).sum())
+                if n - n0 < np.ceil(THRESHOLD * n - _EPS):
                     continue
-                if group is not None:
-                    rows.append((*head[:5], radius, lead, None, None))
-                group, head, lead, radius = at, (id_, n, n0, m0, m1), own, r
+                shared = s[kind > 0]
+                keys = (int(tokens.mix(shared * lane).min().astype(np.int64)) for lane in tokens.LANES)
+                rows.append((id_, n, n0, *keys, float(kind.mean()), s[np.lexsort((s, kind))].view(np.int64)))
             if rows:
-                yield out(rows)
-        if group is not None:
-            yield out([(*head[:5], radius, lead, None, None)])
-
-    salted = active.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    placed = salted.repartition(key, "salt").sortWithinPartitions(key, "salt", "id")
-    return placed.select("id", "n", "n0", "m0", "m1", "r", "shingles", "salt").mapInArrow(led, _ROUND)
-
-
-def _candidates(active: DataFrame, reach: float) -> DataFrame:
-    """Pairs (a, b) of sets that may come within the threshold relaxed by their radii, from the block-skip index."""
-    least = THRESHOLD - 2 * reach
-    prefix = F.col("n") - F.ceil((THRESHOLD - F.col("r") - reach) * F.col("n") - _EPS) + 1
-    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least)) + _EPS).cast("int")
-    posts = active.select(
-        "id", "n", "r", block.alias("block"), "n0", F.posexplode(F.slice("shingles", F.col("n0") + 1, F.greatest(prefix - F.col("n0"), F.lit(0)).cast("int"))).alias("pos", "token")
-    ).withColumn("pos", F.col("pos") + F.col("n0"))
-    lists = posts.select(F.col("token"), "block", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "r", "pos")])
-    probes = posts.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "r", "pos")])
-    t = F.lit(THRESHOLD) - F.col("a_r") - F.col("b_r")
-    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") > F.col("b_id")))
-    sizes = F.col("b_n") >= t * F.col("a_n") - _EPS
-    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= t / (1 + t) * (F.col("a_n") + F.col("b_n")) - _EPS
-    return probes.join(lists, ["token", "block"]).where(larger & sizes & enough).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+                cols = zip(zip(*rows, strict=True), kinds, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], ["id", "n", "n0", "m0", "m1", "common", "shingles"])
+
+    return materialize(sets.select("id", "shingles").mapInArrow(sifted, _SIFTED), "ngram-sifted")
+
+
+def _lead(sets: DataFrame, key: str, salts: int) -> DataFrame:
+    """Links (a, b) of sets to leaders of their groups, verified."""
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders = None, []
+        for batch in batches:
+            links = []
+            for id_, at, salt, values in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (at, salt) != group:
+                    group, leaders = (at, salt), []
+                own = values.values.to_numpy()
+                for other, lead in leaders:
+                    if 4 * min(len(own), len(lead)) < 3 * max(len(own), len(lead)):
+                        continue
+                    both = len(np.intersect1d(own, lead, assume_unique=True))
+                    if 4 * both >= 3 * (len(own) + len(lead) - both):
+                        links.append((id_, other))
+                        break
+                else:
+                    if len(leaders) < LEADERS:
+                        leaders.append((id_, own))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    salted = sets.select("id", key, F.pmod(F.hash("id"), F.lit(salts)).alias("salt"), "shingles", "common")
+    placed = salted.repartition(key, "salt").sortWithinPartitions(key, "salt", F.desc("common"), "id")
+    return placed.select("id", key, "salt", "shingles").mapInArrow(led, "a bigint, b bigint")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components (``label``) that may link, from the block-skip index."""
+    prefix = (F.col("n") - F.ceil(THRESHOLD * F.col("n") - _EPS) + 1 - F.col("n0")).cast("int")
+    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(THRESHOLD)) + _EPS).cast("int")
+    posts = sets.where(prefix > 0).select(
+        "id", "n", "label", "large", block.alias("block"), "n0", F.posexplode(F.slice("shingles", F.col("n0") + 1, prefix)).alias("at", "token")
+    )
+    posts = posts.select("id", "n", "label", "large", "block", "token", (F.col("at") + F.col("n0")).alias("pos"))
+    named = lambda x, *keys: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "label", "large", "pos") if c not in keys]
+    need = THRESHOLD / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) - _EPS
+    fits = (
+        (F.least("a_n", "b_n") >= THRESHOLD * F.greatest("a_n", "b_n") - _EPS)
+        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
+        & (F.col("a_label") != F.col("b_label"))
+    )
+    lists = posts.select("token", "block", *named("b"))
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    probes = posts.where(~F.col("large")).select("token", near.alias("block"), *named("a"))
+    once = F.col("b_large") | (F.col("a_id") > F.col("b_id"))
+    small = probes.join(lists, ["token", "block"]).where(once & fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    big = posts.where("large")
+    labels = big.select("token", "label").distinct()
+    met = labels.select("token", F.col("label").alias("a_label")).join(labels.select("token", F.col("label").alias("b_label")), "token").where("a_label < b_label")
+    side = lambda x: big.select("token", *named(x))
+    large = met.join(side("a"), ["token", "a_label"]).join(side("b"), ["token", "b_label"]).where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return small.unionByName(large).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,49 +251,24 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     base = materialize(_sets(df.select(ids.alias("doc"), _print(text).alias("k"), F.col(text).alias("t")), sent), "ngram-sets")
     several = base.where("shingles is not null").groupBy("s1", "s2")
-    reps = several.agg(F.min("doc").alias("id"), *[F.first(c).alias(c) for c in ("n", "n0", "m0", "m1", "shingles")])
-    reps = materialize(reps, "ngram-reps")
-
-    total = reps.count()
-    salts, plan = max(1, -(-total // GROUP)), []
-    many = salts
-    while many > 1:
-        plan.append(("m0", many))
-        many //= 256
-    plan += [("m0", 1), ("m1", salts)]
-    active = reps.select("id", "n", "n0", "m0", "m1", F.lit(0.0).alias("r"), "shingles")
-    roots = reps.select("id", F.col("id").alias("root"), F.lit(0.0).alias("dist"))
-    for key, salt in plan:
-        led = materialize(_lead(active, key, salt), "ngram-led")
-        active = led.where("to is null").drop("to", "d")
-        moved = led.where("to is not null").select(F.col("id").alias("root"), "to", "d")
-        roots = roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root"), (F.col("dist") + F.coalesce("d", F.lit(0.0))).alias("dist"))
-    roots = materialize(roots, "ngram-roots")
-
-    reach = active.agg(F.max("r")).first()[0] or 0.0
-    pairs = materialize(_verified(_candidates(active, reach), active), "ngram-pairs")
+    reps = materialize(several.agg(F.min("doc").alias("id"), F.first("shingles").alias("shingles")), "ngram-reps")
+    sets = _sift(_sift(reps))
+
+    total = sets.count()
+    salts = max(1, -(-total // GROUP))
+    first = _lead(sets, "m0", salts).unionByName(_lead(sets, "m1", salts))
+    edges = materialize(first, "ngram-led")
+    labels = components(edges)
+    if salts > 1:
+        heads = sets.join(labels.where("id <> label").select("id"), "id", "left_anti")
+        edges = materialize(edges.unionByName(_lead(heads, "m0", 1)), "ngram-led")
+        labels = components(edges)
+    sizes = labels.groupBy("label").agg((F.count("*") >= LARGE).alias("large"))
+    named = sets.join(labels.join(sizes, "label"), "id", "left").withColumns({"label": F.coalesce("label", "id"), "large": F.coalesce("large", F.lit(False))})
+    pairs = _verified(_candidates(materialize(named, "ngram-labelled")), sets)
     links = pairs.where(_links()).select("a", "b")
-    radius = active.select("id", "r")
-    gray = (
-        pairs.where(~_links())
-        .withColumn("far", 1 - F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both")))
-        .join(radius.select(F.col("id").alias("a"), F.col("r").alias("a_r")), "a")
-        .join(radius.select(F.col("id").alias("b"), F.col("r").alias("b_r")), "b")
-        .where(F.col("far") <= 1 - THRESHOLD + F.col("a_r") + F.col("b_r") + _EPS)
-    )
-    labels = components(links)
-    apart = gray.join(labels.select(F.col("id").alias("a"), F.col("label").alias("a_l")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("b_l")), "b", "left")
-    apart = materialize(apart.where(F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b", "far", "a_r", "b_r"), "ngram-gray")
-    if not apart.isEmpty():
-        member = lambda x: roots.select(F.col("root").alias(x), F.col("id").alias(f"{x}_m"), F.col("dist").alias(f"{x}_d"))
-        need = F.col("far") - (1 - THRESHOLD) - _EPS
-        near = apart.join(member("a"), "a").where(F.col("a_d") + F.col("b_r") >= need).join(member("b"), "b").where(F.col("a_d") + F.col("b_d") >= need)
-        inner = _verified(near.select(F.col("a_m").alias("a"), F.col("b_m").alias("b")).distinct(), reps).where(_links()).select("a", "b")
-        home = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root"))
-        more = inner.join(home("a"), "a").join(home("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        labels = components(links.unionByName(more))
-    named = roots.join(labels.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("component"))
-    dim = reps.select("s1", "s2", "id").join(named, "id").select("s1", "s2", "component")
+    labels = components(edges.unionByName(links))
+    dim = reps.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component"))
     alone = base.where("shingles is null").select("doc", "k", "n", F.col("doc").alias("component"))
     met = base.where("shingles is not null").select("doc", "k", "n", "s1", "s2").join(dim, ["s1", "s2"]).select("doc", "k", "n", "component")
     name = F.when(F.col("component") != _NO_ID, F.col("component"))
