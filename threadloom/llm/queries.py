@@ -87,8 +87,12 @@ def vocabulary() -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoding of every document, as digests."""
-    coded = bpe.transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
-    return coded.select(
+    return coded(bpe.transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """The digests of encoded documents."""
+    return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
