@@ -6,6 +6,7 @@ out, unless it says otherwise. White space includes the no-break space, as in ma
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,6 +50,11 @@ NOISE = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda a plain expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     """Without white space at both ends, the no-break space counting as such."""
     return F.regexp_replace(c, rf"\A{S}+|{S}+\z", "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso
+from ..functions.text import let
 
 
 def place_unread(rows: list[dict]) -> list[dict]:
@@ -144,8 +145,11 @@ def first_appearance(rows: DataFrame, key: list[str], value: str, order: str, ou
 
 def picture_numbers(keys: Column) -> Column:
     """Pictures numbered by first appearance in the message, ``?`` as it is."""
-    distinct = F.array_distinct(F.filter(keys, lambda k: k != "?"))
-    return F.transform(keys, lambda k: F.when(k == "?", k).otherwise(F.array_position(distinct, k).cast("string")))
+
+    def numbered(p: Column) -> Column:
+        return F.transform(p["keys"], lambda k: F.when(k == "?", k).otherwise(F.array_position(p["known"], k).cast("string")))
+
+    return let(F.struct(keys.alias("keys"), F.array_distinct(F.filter(keys, lambda k: k != "?")).alias("known")), numbered)
 
 
 def rank_participants(participants: DataFrame) -> DataFrame:

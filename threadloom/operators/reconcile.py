@@ -370,30 +370,41 @@ def zone_shift(a_ms: Column, b_ms: Column) -> Column:
     return gap.between(LEAST_SHIFT, MOST_SHIFT) & (F.least(gap % QUARTER, QUARTER - gap % QUARTER) < SKEW)
 
 
+def _by_size(a: Column, b: Column) -> Column:
+    return F.when(F.size(a) <= F.size(b), F.struct(a.alias("few"), b.alias("many"))).otherwise(F.struct(b.alias("few"), a.alias("many")))
+
+
 def pictures_conflict_col(a: Column, b: Column) -> Column:
     """X3 on columns."""
-    few, many = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    fits = lambda k, at: (k == "?") | (F.get(few, at) == "?") | (F.get(few, at) == k)
-    met = F.aggregate(many, F.lit(0), lambda at, k: F.when((at < F.size(few)) & fits(k, at), at + 1).otherwise(at))
-    return (F.size(few) > 0) & (met < F.size(few))
+
+    def conflict(p: Column) -> Column:
+        few = p["few"]
+        fits = lambda k, at: (k == "?") | (F.get(few, at) == "?") | (F.get(few, at) == k)
+        met = F.aggregate(p["many"], F.lit(0), lambda at, k: F.when((at < F.size(few)) & fits(k, at), at + 1).otherwise(at))
+        return (F.size(few) > 0) & (met < F.size(few))
+
+    return tx.let(_by_size(a, b), conflict)
 
 
 def near_copy_col(a: Column, b: Column) -> Column:
     """X4 on columns of core text."""
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))
-    x, y = words(a), words(b)
-    few, many = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("fine"))
     changes = r"(?i)\d|^(?:no|not|never|cancel|cancelled|revoked|reject|rejected|instead|except)\z"
-    met = F.aggregate(
-        many,
-        start,
-        lambda s, w: F.when(F.get(few, s["at"]) == w, F.struct((s["at"] + 1).alias("at"), s["fine"].alias("fine"))).otherwise(
-            F.struct(s["at"].alias("at"), (s["fine"] & ~w.rlike(changes)).alias("fine"))
-        ),
-        lambda s: (s["at"] == F.size(few)) & s["fine"],
-    )
-    return (F.least(F.length(a), F.length(b)) >= LONG) & (F.size(few) >= NEAR_RATIO * F.size(many)) & met
+
+    def inserted(p: Column) -> Column:
+        few = p["few"]
+        met = F.aggregate(
+            p["many"],
+            F.struct(F.lit(0).alias("at"), F.lit(True).alias("fine")),
+            lambda s, w: F.when(F.get(few, s["at"]) == w, F.struct((s["at"] + 1).alias("at"), s["fine"].alias("fine"))).otherwise(
+                F.struct(s["at"].alias("at"), (s["fine"] & ~w.rlike(changes)).alias("fine"))
+            ),
+            lambda s: (s["at"] == F.size(few)) & s["fine"],
+        )
+        return (F.size(few) >= NEAR_RATIO * F.size(p["many"])) & met
+
+    pair = tx.let(F.struct(words(a).alias("x"), words(b).alias("y")), lambda w: tx.let(_by_size(w["x"], w["y"]), inserted))
+    return (F.least(F.length(a), F.length(b)) >= LONG) & pair
 
 
 def copy_groups(messages: DataFrame, least: int = EXACT) -> DataFrame:
