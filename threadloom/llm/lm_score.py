@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ ALPHA = 0.4
 #: Bytes of input files for each block of documents, and for each partition of the counts.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 MAX_PARTS = 1 << 16
-_RUN = 1 << 22
+#: Low bits of a fingerprint that are dropped; 56 are kept, which n-grams share by chance about once in seven million where ten billion differ.
+DROPPED = np.uint64(8)
+_RUN = 1 << 20
 
 
 def _size(df: DataFrame) -> int:
@@ -61,58 +64,61 @@ class Block:
                 h, ends = tokens.hashed([t.lower().split() for t in run])
                 words.append(h)
                 sizes.append(np.diff(ends))
-        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        h = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        del words
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.n_words = size
         self.ends = np.concatenate(([0], np.cumsum(size)))
-        self.doc = np.repeat(np.arange(len(size)), size)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.kinds, self.at, self.own = [], [], []
         for n in range(1, ORDER + 1):
-            h = tokens.rolling(self.words, n) + np.uint64(n)
-            inside = self.doc[: len(h)] == self.doc[n - 1 :] if len(h) else np.zeros(0, bool)
-            at = np.full(len(self.words), -1, np.int64)  # by first word, -1 where the text ends before
-            kinds, back = np.unique(h[inside], return_inverse=True)
-            at[np.flatnonzero(inside)] = back
-            self.kinds.append(kinds)
+            grams = (tokens.rolling(h, n) + np.uint64(n)) >> DROPPED << DROPPED
+            inside = self.doc[: len(grams)] == self.doc[n - 1 :] if len(grams) else np.zeros(0, bool)
+            codes, kinds = pd.factorize(grams[inside])
+            order = np.argsort(kinds)
+            place = np.empty(len(kinds), np.int32)
+            place[order] = np.arange(len(kinds), dtype=np.int32)
+            at = np.full(len(h), -1, np.int32)  # by first word, -1 where the text ends before
+            at[np.flatnonzero(inside)] = place[codes]
+            self.kinds.append(kinds[order])
             self.at.append(at)
-            self.own.append(np.bincount(back, minlength=len(kinds)))
+            self.own.append(np.bincount(codes, minlength=len(kinds))[order])
+
+    def _elsewhere(self, n: int, totals: np.ndarray) -> np.ndarray:
+        """At each word that begins an n-gram: how often it occurs in other documents."""
+        at = self.at[n]
+        ok = np.flatnonzero(at >= 0)
+        pair = self.doc[ok].astype(np.int64) << 32 | at[ok]
+        codes, kinds = pd.factorize(pair)
+        out = np.zeros(len(at), np.int64)
+        out[ok] = totals[at[ok]] - np.bincount(codes, minlength=len(kinds))[codes]
+        return out
 
     def score(self, totals: list[np.ndarray], all_words: int) -> tuple[np.ndarray, np.ndarray]:
         """(words, sum of log10 S) of each document, given each distinct n-gram's count in the corpus."""
-        docs = len(self.ends) - 1
-        n_words = np.diff(self.ends)
-        rest = []  # by order, at each word that begins an n-gram: its count in other documents
-        for n in range(ORDER):
-            at = self.at[n]
-            ok = at >= 0
-            pair = self.doc[ok] * max(1, len(self.kinds[n])) + at[ok]
-            kinds, back, mine = np.unique(pair, return_inverse=True, return_counts=True)
-            out = np.zeros(len(at), np.int64)
-            out[ok] = totals[n][at[ok]] - mine[back]
-            rest.append(out)
-        others = np.maximum(1, all_words - n_words)[self.doc]
-        value = np.where(rest[0] > 0, np.maximum(rest[0], 1) / others, ALPHA / others) * ALPHA ** (ORDER - 1)
-        first = np.arange(len(self.words)) - self.ends[self.doc]  # words before it in its text
-        value *= ALPHA ** -np.maximum(0, ORDER - 1 - first).astype(float)
+        others = np.maximum(1, all_words - self.n_words)[self.doc].astype(float)
+        shorter = self._elsewhere(0, totals[0])
+        before = (np.arange(len(self.doc)) - self.ends[self.doc]).astype(np.int32)  # words before each in its text
+        longest = np.minimum(ORDER - 1, before)  # the history it can have
+        value = ALPHA ** longest.astype(float) * np.where(shorter > 0, np.maximum(shorter, 1), ALPHA) / others
+        del others
         for n in range(1, ORDER):
-            ends_at = np.flatnonzero(first >= n)  # words with n words before them
-            hit, context = rest[n][ends_at - n], rest[n - 1][ends_at - n]
-            use = hit > 0
-            # a shorter history pays no penalty for orders that it cannot have
-            missing = np.maximum(0, ORDER - 1 - np.maximum(first[ends_at[use]], n)) if n else 0
-            penalty = ALPHA ** (ORDER - 1 - n - missing).astype(float)
-            value[ends_at[use]] = penalty * hit[use] / context[use]
-        sums = np.zeros(docs)
-        np.add.at(sums, self.doc, np.log10(value))
-        return n_words, sums
+            longer = self._elsewhere(n, totals[n])
+            word = np.flatnonzero(before >= n)
+            word = word[longer[word - n] > 0]
+            value[word] = ALPHA ** (longest[word] - n).astype(float) * longer[word - n] / shorter[word - n]
+            shorter = longer
+        sums = np.bincount(self.doc, np.log10(value), len(self.n_words)) if len(value) else np.zeros(len(self.n_words))
+        return self.n_words, sums
 
 
 def pack(values: np.ndarray) -> bytes:
     """Sorted fingerprints as differences, bytes of equal weight together."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.diff(values >> DROPPED, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64) << DROPPED
 
 
 def _thin(values: np.ndarray) -> bytes:
@@ -134,17 +140,18 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
     bits = min(MAX_PARTS, max(1, -(-size // PART_BYTES))).bit_length()
     columns = [c for c in df.columns if c not in ("n_words", "log_score", "mean_log_score")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    dealt = df.select(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(blocks)).cast("int").alias("block"), row.alias("row"), F.col(text).alias("t"))
+    dealt = df.select(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(blocks)).cast("int").alias("block"), row.alias("row"))
+    texts = lambda table: table.column("row").combine_chunks().field(text)
 
     def send(table: pa.Table) -> pa.Table:
-        block = Block(table.column("t"))
+        block = Block(texts(table))
         number = table.column("block")[0].as_py()
         out: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
         for n in range(ORDER):
             kinds, own = block.kinds[n], block.own[n]
             cuts = np.searchsorted(kinds, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(kinds)]
             for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
+                if b > a or n == 0:  # single words name every partition, so that each block hears of all words
                     for key, v in zip(out, (part, number, n, pack(kinds[a:b]), _thin(own[a:b])), strict=True):
                         out[key].append(v)
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(out))
@@ -153,7 +160,7 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
         grams = [unpack(x.as_py()) for x in table.column("grams")]
         counts = [_thick(x.as_py()) for x in table.column("counts")]
         order = table.column("n").to_numpy()
-        kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
+        back, kinds = pd.factorize(np.concatenate(grams))
         total = np.bincount(back, np.concatenate(counts), len(kinds)).astype(np.int64)
         ends = np.cumsum([len(g) for g in grams])
         answers = [_thin(total[back[e - len(g) : e]]) for g, e in zip(grams, ends, strict=True)]
@@ -161,13 +168,12 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
         said = pa.array([words] * len(answers), pa.int64())
         return pa.table([table.column("block"), table.column("part"), table.column("n"), pa.array(answers, pa.binary()), said], ["block", "part", "n", "counts", "words"])
 
-    sent = dealt.select("block", "t").groupBy("block").applyInArrow(send, _SENT)
+    sent = dealt.groupBy("block").applyInArrow(send, _SENT)
     answers = sent.groupBy("part").applyInArrow(add, _ANSWER)
-    total = answers.select("part", "words").distinct().agg(F.coalesce(F.sum("words"), F.lit(0)).alias("all_words"))
     scored = pa.struct([("n_words", pa.int64()), ("log_score", pa.float64())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.column("t"))
+        block = Block(texts(left))
         totals = []
         part, order = right.column("part").to_numpy(), right.column("n").to_numpy()
         for n in range(ORDER):
@@ -175,12 +181,12 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
             mine = mine[np.argsort(part[mine])]
             found = [_thick(right.column("counts")[int(i)].as_py()) for i in mine]
             totals.append(np.concatenate(found) if found else np.zeros(0, np.int64))
-        all_words = right.column("all_words")[0].as_py() if len(right) else 0
+        all_words = int(right.column("words").to_numpy()[order == 0].sum())  # each partition answers once for single words
         n_words, sums = block.score(totals, all_words)
         return pa.table([left.column("row"), pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(sums)], fields=list(scored))], ["row", "s"])
 
     schema = dealt.select("row").schema
     kind = schema.add("s", T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())]))
-    out = dealt.groupBy("block").cogroup(answers.crossJoin(F.broadcast(total)).groupBy("block")).applyInArrow(join, kind)
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, kind)
     mean = F.when(F.col("s.n_words") > 0, F.col("s.log_score") / F.col("s.n_words"))
     return out.select("row.*", F.col("s.n_words").alias("n_words"), F.col("s.log_score").alias("log_score"), mean.alias("mean_log_score"))
