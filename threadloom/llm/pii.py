@@ -220,9 +220,9 @@ def spell(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``[KIND]``; spans that touch the same characters become one. Null stays null."""
-    columns = df.columns
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = find(df, text)
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
+    found = find(held, "_text")
 
     def merged(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<gap:int,start:int,rank:int>>").alias("out"))
@@ -236,8 +236,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         )
 
     def cut(m: Column) -> Column:
-        parts = F.transform(m["out"], lambda x: F.concat(F.substring(F.col(text), x["gap"] + 1, x["start"] - x["gap"]), F.get(labels, x["rank"])))
-        return F.concat(F.array_join(parts, ""), F.substring(F.col(text), m["end"] + 1, F.lit(2147483647)))
+        parts = F.transform(m["out"], lambda x: F.concat(F.substring(F.col("_text"), x["gap"] + 1, x["start"] - x["gap"]), F.get(labels, x["rank"])))
+        return F.concat(F.array_join(parts, ""), F.substring(F.col("_text"), m["end"] + 1, F.lit(2147483647)))
 
-    clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(let(merged(F.col("spans")), cut))
-    return found.withColumn(text, F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(clean)).select(*columns)
+    clean = F.when(F.col("_text").isNull() | (F.size("spans") == 0), F.col("_text")).otherwise(let(merged(F.col("spans")), cut))
+    return found.select(*[clean.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
