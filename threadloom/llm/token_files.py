@@ -13,7 +13,7 @@ documents, of ids, of base symbols, of rules, of sequence symbols (seven 64-bit
 document ids (64), documents' first ids and the end (64), documents' first symbols and
 the end (64), rules as symbol pairs (32), expansion lengths (32), the sequence; then the
 CRC-32 of all that. Shards are the rows of a Parquet table, as Spark's writers reach any
-store: ``part``, ``seq``, ``n_docs``, ``n_ids``, ``shard``.
+store: ``part``, ``seq``, ``inside`` (ids before it in its range), ``n_docs``, ``n_ids``, ``shard``.
 
 Defined cases: a null or empty text has the end id only; null ids come first, equal ids
 are ordered by text; repeated rows are stored each; an empty table gives an empty table;
@@ -22,8 +22,10 @@ extra columns are not stored.
 
 from __future__ import annotations
 
-import functools
-import itertools
+import contextlib
+import ctypes
+import gc
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,14 +41,16 @@ from .tokens import raw
 
 MAGIC, VERSION = b"TLRP", 1
 END_ID = 1
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 19
 #: Re-Pair: pairs replaced in one round, least occurrences of a pair, rounds, and the shrinkage that makes a round worth while.
-PAIRS_A_ROUND, LEAST_COUNT, ROUNDS, GAIN = 2048, 64, 6, 0.02
+PAIRS_A_ROUND, LEAST_COUNT, ROUNDS, GAIN = 512, 32, 3, 0.03
 #: Bytes of input files for each range of documents.
 RANGE_BYTES = 12 << 20
+#: Ranges at the most, which bounds the table of their sizes (16 bytes each) that a reader broadcasts.
+MAX_RANGES = 1 << 20
 #: Words in one generation of a worker's cache.
-CACHE_WORDS = 400_000
-_COUNT_BITS = 20
+CACHE_WORDS = 350_000
+_COUNT_BITS, _RUN = 17, 1 << 19
 
 
 class WordCache:
@@ -61,6 +65,9 @@ class WordCache:
     _CHUNK = 1000
 
     def __init__(self, path: str):
+        gc.freeze()
+        gc.disable()  # millions of small objects without cycles: collections would only walk them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own only wait for one another
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,12 +82,38 @@ class WordCache:
             self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.direct = self._direct(path) if suffix else None
+
+    def _direct(self, path: str):
+        """The library's model without its normalising and splitting, for words that these leave alone; None where a probe of the vocabulary disagrees."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        found = Tokenizer.from_file(path)
+        found.no_padding()
+        found.no_truncation()
+        found.normalizer = None
+        found.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        probe = sorted({t.removesuffix(suffix) for t in self.tokenizer.get_vocab(with_added_tokens=False)})
+        probe = [t for t in probe if t.isascii() and t.isalpha() and t == t.lower()]
+        words = [a + b for a, b in zip(probe, probe[7:] + probe[:7], strict=True)][::17] + probe[::5]
+        same = self._ids([" ".join(words)])[0].tolist() == self._ids([" ".join(words)], found)[0].tolist()
+        return found if same and words else None
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         young, plain, rest = self.young, [], []
+        if self.direct is not None:
+            ready = [w for w in words if w.isalpha() and w.islower()]  # ASCII, as these are bytes
+            parts = [ready[i : i + self._CHUNK] for i in range(0, len(ready), self._CHUNK)]
+            for part, ids in zip(parts, self._ids([b" ".join(part).decode("ascii") for part in parts], self.direct), strict=True):
+                raw_ids, a = ids.tobytes(), 0
+                for w, b in zip(part, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
+                    young[w] = raw_ids[a:b]
+                    a = b
+            words = [w for w in words if not (w.isalpha() and w.islower())]
         for w in words:
             s = w.decode("utf-8")
             if s.isalpha():
@@ -113,37 +146,61 @@ class WordCache:
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end``, and where each begins and the last one ends."""
-        docs = [t.split() for t in texts]
-        for d in docs:
-            d.append(b"")  # stands for the end id
-        words = list(itertools.chain.from_iterable(docs))
-        flat = np.empty(len(words), object)
-        flat[:] = words
-        codes, kinds = pd.factorize(flat)
+        docs = [_apart(t).split() for t in texts]
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         young = self.young
-        young[b""] = np.array([end], np.int32).tobytes()
-        each = list(map(young.get, kinds))
-        unknown = [i for i, x in enumerate(each) if x is None]
+        found = [list(map(young.get, d)) for d in docs]
+        gaps = [_gaps(f) for f in found]
+        unknown = {d[i] for d, g in zip(docs, gaps, strict=True) for i in g}
         if unknown:
-            old, new = self.old, []
-            for i in unknown:
-                w = kinds[i]
-                x = old.get(w)
-                if x is None:
-                    new.append(w)
-                else:
-                    young[w] = x
-            self._learn(new)
-            for i in unknown:
-                each[i] = young[kinds[i]]
-        table = np.frombuffer(b"".join(each), np.int32)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        ids = _gather(table, np.cumsum(size) - size, size, codes)
-        ends = np.cumsum([len(d) for d in docs])
-        per_word = np.cumsum(size[codes])
-        return ids, np.concatenate(([0], per_word[ends - 1])) if docs else np.zeros(1, np.int64)
+            kept = {w: x for w in unknown if (x := self.old.get(w)) is not None}
+            young.update(kept)
+            self._learn(list(unknown - kept.keys()))
+            for d, f, g in zip(docs, found, gaps, strict=True):
+                for i in g:
+                    f[i] = young[d[i]]
+        last = np.array([end], np.int32).tobytes()
+        for f in found:
+            f.append(last)
+        parts = [b"".join(f) for f in found]
+        ends = np.cumsum([0] + [len(p) // 4 for p in parts])
+        return np.frombuffer(b"".join(parts), np.int32), ends
+
+
+def _gaps(values: list) -> list[int]:
+    """Where None stands in a list, most of which is something else."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
+_KIND = bytes(ord(" ") if c in b" \t\n\r\x0b\x0c" else ord("a") if c >= 128 or chr(c).isalnum() else ord("p") for c in range(256))
+_ASCII = bytes(range(128))
+
+
+def _apart(text: bytes) -> bytes:
+    """The text with fewer different words, but the same ids: ASCII letters in lower case, single marks after letters or digits apart.
+
+    Left as it is where a special token could be in it, where a mark might belong to a group of
+    marks, or where it has characters other than ASCII and the Latin-1 letters.
+    """
+    if b"<|" in text:
+        return text
+    text = text.lower()
+    if not text.isascii():
+        other = text.translate(None, _ASCII)
+        if other.count(b"\xc3") * 2 != len(other) or b"\xc3\x97" in other or b"\xc3\xb7" in other:
+            return text
+    if b"pp" in text.translate(_KIND):
+        return text
+    for mark in (b".", b","):
+        text = text.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
+    return text
 
 
 def _gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -153,9 +210,20 @@ def _gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.nd
     return table[np.repeat(start[codes] - first, n) + np.arange(int(n.sum()))] if len(codes) else table[:0]
 
 
-@functools.lru_cache(2)
+_CACHES: dict[str, WordCache] = {}
+
+
 def cache(path: str) -> WordCache:
-    return WordCache(path)
+    """One for each Python worker and path."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker lives on and its neighbours need it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def repair(ids: np.ndarray, base: int, end: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +233,7 @@ def repair(ids: np.ndarray, base: int, end: int = END_ID) -> tuple[np.ndarray, n
     buckets exactly, and replaces the most frequent ones. Where chosen pairs overlap, the
     more frequent one is replaced, and the left one of equals.
     """
-    seq, place, rules = ids.astype(np.int32), np.arange(len(ids), dtype=np.int64), []
+    seq, place, rules = ids.astype(np.int32), np.arange(len(ids), dtype=np.int32), []
     n_rules = 0
     for _ in range(ROUNDS):
         if len(seq) < 2:
@@ -253,23 +321,23 @@ def write(df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", tex
     """Write the ids of all texts of ``df`` as shards to ``path``, in ascending ``doc_id`` order."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    ranges = max(1, min(1 << 20, -(-size // RANGE_BYTES))) if size < 1 << 60 else 200
+    ranges = max(1, min(MAX_RANGES, -(-size // RANGE_BYTES))) if size < 1 << 60 else 200
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seq = cache(vocabulary), TaskContext.get().partitionId(), 0
+        words, part, seq, inside = cache(vocabulary), TaskContext.get().partitionId(), 0, 0
         base = max(words.tokenizer.get_vocab_size(with_added_tokens=True), end + 1)
         docs, ids, ends, held = [], [], [np.zeros(1, np.int64)], 0
 
         def done() -> pa.RecordBatch:
             every = np.concatenate(ids)
             blob = pack(np.concatenate(docs), np.concatenate(ends), every, base, end)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            values = (part, seq, sum(map(len, docs)), len(every), blob)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "seq", "n_docs", "n_ids", "shard"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            values = (part, seq, inside, sum(map(len, docs)), len(every), blob)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "seq", "inside", "n_docs", "n_ids", "shard"])
 
         for batch in batches:
             names = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for begin, run in raw(batch.column(1)):
+            for begin, run in raw(batch.column(1), _RUN):
                 got, edges = words.encode(run, end)
                 docs.append(names[begin : begin + len(run)])
                 ids.append(got)
@@ -277,13 +345,16 @@ def write(df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", tex
                 held += len(got)
                 if held >= SHARD_IDS:
                     yield done()
+                    inside += held
                     seq, docs, ids, ends, held = seq + 1, [], [], [np.zeros(1, np.int64)], 0
         if docs:
             yield done()
+        docs = ids = ends = None
+        _trim()
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
     placed = rows.repartitionByRange(ranges, F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first(), "t")
-    placed.mapInArrow(shards, "part int, seq int, n_docs bigint, n_ids bigint, shard binary").write.parquet(path)
+    placed.mapInArrow(shards, "part int, seq int, inside bigint, n_docs bigint, n_ids bigint, shard binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -292,6 +363,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kind = pa.list_(pa.int32())
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _CACHES.values():  # a worker that has written before holds words that reading needs no more
+            words.young, words.old = {}, {}
+        _trim()
         for batch in batches:
             for before, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(blob)
@@ -308,12 +382,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(files: DataFrame) -> DataFrame:
-    """Shards with ``before``: the ids of all shards before theirs. Sums are taken by range first, so no task sees all shards."""
+    """Shards with ``before``: the ids of all shards before theirs. Only the ranges' sizes move, not the shards."""
     ranges = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = ranges.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    index = files.select("part", "seq", within.alias("inside")).join(before, "part").select("part", "seq", (F.col("ahead") + F.col("inside")).alias("before"))
-    return files.join(index, ["part", "seq"])
+    ahead = ranges.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    return files.join(F.broadcast(ahead), "part").withColumn("before", F.col("ahead") + F.col("inside"))
 
 
 @F.arrow_udf(LongType())
