@@ -212,5 +212,5 @@ def transcoder(path: str):
 
 def transcode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` of the whole text and ``decoded``, read back from them."""
-    held = df.withColumn("_bpe", transcoder(path)(F.col(text)))
-    return held.withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
+    held = df.withColumn("__bpe", transcoder(path)(F.col(text)))
+    return held.withColumns({"ids": F.col("__bpe.ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")

@@ -206,7 +206,7 @@ def _judged(sent: Broadcast, threshold: float):
     return judged
 
 
-def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, name: str = "_leaks") -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, name: str = "__leaks") -> DataFrame:
     """``docs`` with the column ``name``: an array of (item_id, coverage, tiles, longest), one for each item that the text covers."""
     spark = docs.sparkSession
     out = docs.withColumn(name, F.array().cast(OUT))
@@ -218,9 +218,9 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and each benchmark item that it covers to the threshold."""
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
-    return match(held, benchmark, "_t", threshold).select("doc_id", F.inline("_leaks"))
+    return match(held, benchmark, "_t", threshold).select("doc_id", F.inline("__leaks"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item."""
-    return match(docs, benchmark, text, threshold).where(F.size("_leaks") == 0).drop("_leaks")
+    return match(docs, benchmark, text, threshold).where(F.size("__leaks") == 0).drop("__leaks")

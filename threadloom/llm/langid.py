@@ -135,5 +135,5 @@ def predict(df: DataFrame, model: dict[str, Tree], text: str = "text") -> DataFr
                     scores.append(float(1 / np.exp2(np.maximum(sums[best, j] - sums[:, j], -1000)).sum()))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    held = df.withColumn("_p", predicted(F.col(text)))
-    return held.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    held = df.withColumn("__p", predicted(F.col(text)))
+    return held.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")

@@ -115,7 +115,7 @@ def _sift(sets: DataFrame) -> DataFrame:
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield batch.column(0).flatten().to_numpy().view(np.uint64)
 
-    bits = max(sketch.MIN_BITS, min(sketch.MAX_BITS, (2 * size).bit_length()))
+    bits = sketch.bits_of(2 * size, 1, len(LEVELS))
     sent = sets.sparkSession.sparkContext.broadcast(sketch.build(sets.select("shingles"), keys, bits, 1, LEVELS))
 
     def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +231,17 @@ def _print(text: str) -> Column:
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_shingles`` and ``component_id``, the smallest ``doc_id`` that links reach."""
-    once = classes(df, doc_id, text).select(F.col("doc").alias("_d"), F.col("k").alias("_k"), "n_shingles", "component_id").distinct()
-    keyed = df.drop("n_shingles", "component_id").withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_k": _print(text)})
-    return keyed.join(once, ["_d", "_k"], "left").drop("_d", "_k")
+    once = classes(df, doc_id, text).select(F.col("doc").alias("__d"), F.col("k").alias("__k"), "n_shingles", "component_id").distinct()
+    keyed = df.drop("n_shingles", "component_id").withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__k": _print(text)})
+    return keyed.join(once, ["__d", "__k"], "left").drop("__d", "__k")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of ``df`` that names each component; of equal rows one. Rows without an id stay unless they link with one that has an id."""
     first = classes(df, doc_id, text).where(F.coalesce("component_id", F.lit(_NO_ID)) == F.col("doc"))
-    keyed = df.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_k": _print(text)})
-    kept = keyed.join(first.select(F.col("doc").alias("_d"), F.col("k").alias("_k")), ["_d", "_k"], "left_semi")
-    return kept.dropDuplicates(["_d", "_k"]).drop("_d", "_k")
+    keyed = df.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__k": _print(text)})
+    kept = keyed.join(first.select(F.col("doc").alias("__d"), F.col("k").alias("__k")), ["__d", "__k"], "left_semi")
+    return kept.dropDuplicates(["__d", "__k"]).drop("__d", "__k")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -196,20 +196,20 @@ def find(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     joined there. Rows meet their additions again by a fingerprint of all their columns.
     """
     columns = df.columns
-    keyed = df.withColumn("_k", F.struct(F.xxhash64(*columns).alias("a"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("b"), F.coalesce(F.length(text), F.lit(-1)).alias("c")))
-    slim = materialize(scan(keyed.select("_k", text), text).select("_k", "base", "cands"), "pii-scan")
+    keyed = df.withColumn("__k", F.struct(F.xxhash64(*columns).alias("a"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("b"), F.coalesce(F.length(text), F.lit(-1)).alias("c")))
+    slim = materialize(scan(keyed.select("__k", text), text).select("__k", "base", "cands"), "pii-scan")
     patterns = bootstrap(slim, rounds)
-    loose = slim.select("_k", F.explode("cands").alias("c"), "base").where(
+    loose = slim.select("__k", F.explode("cands").alias("c"), "base").where(
         ~F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
     )
     new = (
-        loose.select("_k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.ctx").alias("ctx"), F.col("c.rank").alias("seed"))
+        loose.select("__k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.ctx").alias("ctx"), F.col("c.rank").alias("seed"))
         .join(patterns, "ctx")
-        .groupBy("_k")
+        .groupBy("__k")
         .agg(F.collect_set(F.struct("start", "rank", "end")).alias("added"))
     )
-    found = slim.select("_k", "base").distinct().join(new, "_k", "left").select("_k", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
-    return keyed.drop("base", "spans").join(found, "_k", "left").drop("_k")
+    found = slim.select("__k", "base").distinct().join(new, "__k", "left").select("__k", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
+    return keyed.drop("base", "spans").join(found, "__k", "left").drop("__k")
 
 
 def spell(spans: Column) -> Column:

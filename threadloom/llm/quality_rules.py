@@ -77,8 +77,8 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{WS}]"))
     measured = df.withColumns(
         {
-            "_m": let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))),
-            "_l": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
+            "__m": let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))),
+            "__l": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
             "word_chars": F.length(F.regexp_replace(whole, f"[{WS}]+", "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]+", ""))).cast("long"),
             "n_letters": (F.length(whole) - F.length(F.regexp_replace(whole, r"\p{L}+", ""))).cast("long"),
@@ -87,12 +87,12 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     )
     flat = measured.withColumns(
         {
-            "n_words": F.col("_m.n_words").cast("long"),
-            "n_repeat_words": F.col("_m.n_repeat_words").cast("long"),
-            "n_lines": F.col("_l.n").cast("long"),
-            "n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("long"),
+            "n_words": F.col("__m.n_words").cast("long"),
+            "n_repeat_words": F.col("__m.n_repeat_words").cast("long"),
+            "n_lines": F.col("__l.n").cast("long"),
+            "n_dup_lines": (F.col("__l.n") - F.col("__l.d")).cast("long"),
         }
-    ).drop("_m", "_l")
+    ).drop("__m", "__l")
     bits = sum((F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, _, rule in RULES), F.lit(0))
     return flat.withColumn("fail_bits", bits.cast("long"))
 

@@ -4,8 +4,8 @@ Each input task counts the buckets its keys fall in and emits the non-empty ones
 blocks of 65,536 buckets. The blocks are added up where they meet after a shuffle, one
 block in memory at a time. Only threshold planes (is the count at least k?) go on, so a
 sketch of ``rows`` times ``2 ** bits`` counters and L levels takes ``rows * L * 2 ** bits / 8``
-bytes. ``bits_for`` chooses ``bits`` from the input's size up to ``MAX_BITS``: beyond
-that a sketch gets fuller, which makes a prefilter keep more, never less.
+bytes, ``MAX_BYTES`` at the most. ``bits_for`` chooses ``bits`` from the input's size up to
+that bound: beyond it a sketch gets fuller, which makes a prefilter keep more, never less.
 """
 
 from __future__ import annotations
@@ -17,13 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOCK = 1 << 16
-#: 2 ** 30 buckets: 128 MiB for each row and level at the most.
-MIN_BITS, MAX_BITS = 16, 30
+#: What a sketch sends to the executors, at the most.
+MAX_BYTES = 128 << 20
+MIN_BITS = 16
 _FLUSH, _UNKNOWN = 1 << 22, 1 << 60
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def bits_for(df: DataFrame, buckets_a_byte: float) -> int:
+def bits_of(buckets: float, rows: int = 1, levels: int = 1) -> int:
+    """Enough bits for so many buckets in each row, within the bounds."""
+    most = (8 * MAX_BYTES // (rows * levels)).bit_length() - 1
+    return max(MIN_BITS, min(most, int(np.ceil(np.log2(max(1.0, buckets))))))
+
+
+def bits_for(df: DataFrame, buckets_a_byte: float, rows: int = 1, levels: int = 1) -> int:
     """Enough bits for ``buckets_a_byte`` buckets for each byte that ``df`` reads, within the bounds.
 
     The size is what the sources report, before any column is pruned; where a source has no
@@ -33,7 +40,7 @@ def bits_for(df: DataFrame, buckets_a_byte: float) -> int:
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     if size >= _UNKNOWN:
         size = df.count() << 12
-    return max(MIN_BITS, min(MAX_BITS, int(np.ceil(np.log2(max(1.0, size * buckets_a_byte))))))
+    return bits_of(size * buckets_a_byte, rows, levels)
 
 
 def buckets(keys: np.ndarray, row: int, bits: int) -> np.ndarray:

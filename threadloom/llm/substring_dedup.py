@@ -75,7 +75,7 @@ def estimate(df: DataFrame, text: str = "text") -> sketch.Planes:
             w = Windows(run)
             yield w.grams[np.unique(w.anchor)]
 
-    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE), ROWS)
+    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE, ROWS), ROWS)
 
 
 def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
@@ -169,7 +169,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     repeated = rows.withColumn("total", total).where((n == 0) | ((n == 1) & (F.col("total") >= 2)))
     pos = F.shiftright("place", 2).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
     span = F.struct(pos.alias("pos"), F.when(n == 0, F.col("h2")).otherwise(F.lit(1)).cast("int").alias("len"))
-    spans = repeated.groupBy(F.col("doc").alias("_d"), F.shiftright("place", 32).cast("int").alias("_k")).agg(F.collect_list(span).alias("_spans"))
-    joined = df.withColumns({"_d": doc, "_k": key}).join(spans, ["_d", "_k"], "left")
-    cut = joined.withColumn("_o", _cut()(F.col(text), F.col("_spans"))).drop("_d", "_k", "_spans")
-    return cut.withColumns({c: F.col(f"_o.{c}") for c in ("n_words", "n_removed", "kept_text")}).drop("_o")
+    spans = repeated.groupBy(F.col("doc").alias("__d"), F.shiftright("place", 32).cast("int").alias("__k")).agg(F.collect_list(span).alias("__spans"))
+    joined = df.withColumns({"__d": doc, "__k": key}).join(spans, ["__d", "__k"], "left")
+    cut = joined.withColumn("__o", _cut()(F.col(text), F.col("__spans"))).drop("__d", "__k", "__spans")
+    return cut.withColumns({c: F.col(f"__o.{c}") for c in ("n_words", "n_removed", "kept_text")}).drop("__o")
