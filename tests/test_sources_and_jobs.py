@@ -127,3 +127,35 @@ def test_pictures(spark):
     assert urls == ["data:image/png;base64,AQI=", None]
     back = spark.createDataFrame([(urls[0],), ("https://x.example",)], "u string").select(files.from_data_url(F.col("u"))).collect()
     assert [r[0] if r[0] is None else bytes(r[0]) for r in back] == [b"\x01\x02", None]
+
+
+def test_page_headers():
+    page = '<title>Plan - Outlook</title><div role="button" aria-label="Account manager for Bo" title="Bo (Bo@firma.example)"></div><h2 class="hP">Plan A</h2>'
+    assert extract.page_user(page, "outlook") == "bo@firma.example" and extract.page_subject(page, "outlook") == "Plan"
+    assert extract.page_subject(page, "gmail") == "Plan A" and extract.page_user(page, "gmail") == "" and extract.page_subject("", "gmail") == "Email Thread"
+
+
+def test_registered_provider(spark):
+    own = extract.Provider("own", "[data-row]", ".text", "time[datetime]", lambda el, i: ("Ana", f"ana{i}@firma.example"), lambda el: [], ("data-row",))
+    extract.register(own)
+    pages = spark.createDataFrame([("t", '<div data-row="r1"><time datetime="2026-04-10T09:00:00Z"></time><p class="text">hello</p></div>', "", dates.from_ms(ANCHOR))], "thread_id string, html string, current_user string, anchor timestamp")
+    (row,) = extract.snapshots(pages, "own").collect()
+    assert (row.message.id, row.message.sender.email, row.html) == ("r1", "ana0@firma.example", "hello")
+
+
+def test_masked_snapshots_read_alike(spark):
+    snaps = snapshot_rows(spark).withColumn("html", F.concat(F.lit('<p>Ana Ruiz <a href="mailto:ana@firma.example">ana@firma.example</a> says '), F.col("html"), F.lit('</p><img src="data:image/png;base64,AAAA">')))
+    masked, found = plan.verify_masking(snaps)
+    assert "Ana" not in masked.agg(F.concat_ws(" ", F.collect_list("html"))).first()[0]
+    report = found.report().first()
+    assert report.same_structure and report.order_independent and report.differences == []
+    worse = plan.fidelity(snaps, masked.where("seq <> 1")).report().first()
+    assert not worse.same_structure and worse.differences and worse.differences[-1].startswith("message 6: only in original")
+
+
+def test_folded_snapshots(spark):
+    from threadloom.functions import markup
+
+    snaps = snapshot_rows(spark, 1).withColumns({"html": F.lit('<img src="data:image/png;base64,AAAA">'), "image_sources": F.array(F.lit("data:image/png;base64,AAAA"), F.lit("cid:1"))})
+    r = markup.fold_snapshot(snaps).first()
+    assert r.image_sources[0] in r.html and "folded" in r.html and r.image_sources[1] == "cid:1"

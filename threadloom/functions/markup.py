@@ -339,6 +339,12 @@ def fold_images(markup: str) -> str:
     return re.sub(r"(\bsrcset\s*=\s*)([\"'])([^\"']*data:[^\"']*)\2", r"\1\2\2", markup, flags=re.I)
 
 
+def fold_snapshot(snapshots):
+    """Snapshot rows with the payloads of their markup and picture lists folded."""
+    fold = list_map_udf(fold_source)
+    return snapshots.withColumns({"html": text_udf(fold_images)(F.col("html")), "image_sources": fold(F.col("image_sources"))})
+
+
 def image_sources(markup: str) -> list[str]:
     """The address of each picture, in order."""
     return [next((i.attrs[a] for a in ("src", "data-src") if i.attrs.get(a)), "") for i in parse(markup).elements("img")]
@@ -378,6 +384,11 @@ def counted_udf(f: Callable[[str], tuple[str, int]]):
     return _udf(lambda t: dict(zip(("html", "n"), f(t), strict=True)), kind, pa.struct([("html", pa.string()), ("n", pa.int32())]))
 
 
+def list_map_udf(f: Callable[[str], str]):
+    """A string function over the elements of a list column."""
+    return _udf(lambda xs: [None if x is None else f(x) for x in xs], T.ArrayType(T.StringType()), pa.list_(pa.string()))
+
+
 def list_udf(f: Callable[[str], list[str]]):
     return _udf(f, T.ArrayType(T.StringType()), pa.list_(pa.string()))
 

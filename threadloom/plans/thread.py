@@ -68,11 +68,6 @@ def _absorb(state: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return checkpoint(reconcile.reconcile(compare.upsert(incoming, shifted, ["thread_id", "id"])))
 
 
-def mask_snapshots(captures: list[dict]) -> list[dict]:
-    """K23 over captures, for replay."""
-    return [mask.mask_capture(c) for c in captures]
-
-
 @dataclass(frozen=True)
 class Fidelity:
     """Whether a masked copy reads as the original does, and batches as the whole."""
@@ -88,6 +83,25 @@ class Fidelity:
     def order_independent(self) -> bool:
         return self.order_differences.isEmpty()
 
+    def report(self) -> DataFrame:
+        """One row: same_structure, order_independent, and the differences as text, in order."""
+        line = F.concat(F.lit("message "), (F.col("pos") + 1).cast("string"), F.lit(": "), F.col("difference"))
+        order_line = F.concat(F.lit("order dependence — "), line)
+        every = self.differences.select(F.lit(0).alias("k"), "thread_id", "pos", line.alias("line")).unionByName(
+            self.order_differences.select(F.lit(1).alias("k"), "thread_id", "pos", order_line.alias("line"))
+        )
+        found = every.agg(F.sort_array(F.collect_list(F.struct("k", "thread_id", "pos", "line"))).alias("f"))
+        lines = F.transform("f", lambda x: x["line"])
+        return found.select(
+            (F.size(F.filter("f", lambda x: x["k"] == 0)) == 0).alias("same_structure"), (F.size(F.filter("f", lambda x: x["k"] == 1)) == 0).alias("order_independent"), lines.alias("differences")
+        )
+
+
+def verify_masking(snapshots: DataFrame, batch: int = 4) -> tuple[DataFrame, Fidelity]:
+    """A masked copy of snapshots, and whether it reads as the original does."""
+    masked = mask.mask_snapshots(snapshots)
+    return masked, fidelity(snapshots, masked, batch)
+
 
 def fidelity(original: DataFrame, masked: DataFrame, batch: int = 4) -> Fidelity:
     """R3 on two sets of snapshot rows whose threads have the same ids."""

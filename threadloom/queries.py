@@ -543,12 +543,12 @@ def anti_union_upsert(spark, d):
 
 
 @_query("""
-WITH a AS (SELECT turn, length(text) AS v FROM conversations WHERE conv_id = 0), b AS (SELECT turn, length(text) AS v FROM conversations WHERE conv_id = 3)
-SELECT turn, a.v AS a, b.v AS b FROM a FULL JOIN b USING (turn) WHERE a.v IS DISTINCT FROM b.v""")
+WITH a AS (SELECT conv_id, turn, length(text) AS v FROM conversations), b AS (SELECT conv_id - 1 AS conv_id, turn, length(text) AS v FROM conversations)
+SELECT conv_id, turn, a.v AS a, b.v AS b FROM a FULL JOIN b USING (conv_id, turn) WHERE a.v IS DISTINCT FROM b.v""")
 def shape_compare(spark, d):
-    """J13 on two threads by position."""
+    """Each thread against the next one, by position."""
     c = _t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("v"))
-    return compare.value_differences(c.where("conv_id = 0").drop("conv_id"), c.where("conv_id = 3").drop("conv_id"), ["turn"], "v")
+    return compare.value_differences(c, c.withColumn("conv_id", F.col("conv_id") - 1), ["conv_id", "turn"], "v")
 
 
 @_query("""
@@ -643,3 +643,183 @@ def mailbox(spark, d):
 
     snaps = m.select("thread_id", F.lit("s").alias("session"), F.col("ord").alias("seq"), F.lit("user@example.net").alias("current_user"), header, plain_to_html(F.col("body")).alias("html"), F.array().cast("array<string>").alias("image_sources"))
     return plan.build(snaps).participants.select("thread_id", "email", "message_count", "place")
+
+
+# --- more of the surface --------------------------------------------------------------------
+
+
+@_query(r"""
+SELECT c_custkey, c_name AS name, CASE c_custkey % 3 WHEN 2 THEN 'unknown:' || lower(c_name) ELSE 'c' || c_custkey || '@x.example' END AS email FROM customer""")
+def author_lines(spark, d):
+    """F8 on three shapes of an author line."""
+    mail = F.concat(F.lit("C"), F.col("c_custkey"), F.lit("@x.example"))
+    raw = (
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), F.col("c_name"), F.lit('" <'), mail, F.lit(">;")))
+        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(", "), F.col("c_name"), F.lit(" ("), mail, F.lit(")")))
+        .otherwise(F.col("c_name"))
+    )
+    return _t(spark, d, "customer").select("c_custkey", tx.sender_of(raw).alias("s")).select("c_custkey", "s.name", "s.email")
+
+
+@_query("SELECT event_id, user_id % 4 <> 3 AS zoned FROM events")
+def zone_test(spark, d):
+    """F9 on four ways to write a clock."""
+    u = F.col("user_id") % 4
+    clock = F.date_format(F.col("ts").cast("timestamp"), "MMM d, yyyy HH:mm")
+    raw = F.when(u == 0, F.concat(clock, F.lit(" +0530"))).when(u == 1, F.concat(clock, F.lit(" GMT"))).when(u == 2, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(clock)
+    return _t(spark, d, "events").select("event_id", tx.has_zone(raw).alias("zoned"))
+
+
+@_query("""
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS goes_on, s_suppkey % 3 = 1 AS open_list FROM supplier""")
+def recipient_lines(spark, d):
+    """an address with its name, a list that ends in a comma, and prose."""
+    n = F.col("s_suppkey")
+    mail = F.concat(F.lit("s"), n, F.lit("@x.example"))
+    line = F.when(n % 3 == 0, F.concat(F.lit("Supplier West <"), mail, F.lit(">"))).when(n % 3 == 1, F.concat(mail, F.lit(", "))).otherwise(F.lit("please write to us about the order"))
+    return _t(spark, d, "supplier").select("s_suppkey", tx.continues_recipients(line).alias("goes_on"), (tx.recipients_unfinished(line) & (n % 3 != 2)).alias("open_list"))
+
+
+@_query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') END AS name FROM customer""")
+def specific_names(spark, d):
+    """placeholders and short names identify nobody."""
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.lit("No-Reply")).when(k == 1, F.lit("D.J.")).otherwise(F.col("c_name"))
+    return _t(spark, d, "customer").select("c_custkey", tx.specific_name(name).alias("name"))
+
+
+@_query(f"SELECT doc_id, doc_id % 2 = 0 AS clipped, md5({_NORMAL}) AS core FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[\\s.…]+$', '') ELSE text END AS text FROM documents)")
+def clipped_cores(spark, d):
+    """provider notices and signatures put after each text change nothing of its core."""
+    tail = F.when(F.col("doc_id") % 2 == 0, F.lit(" ... [Message clipped]  View entire message")).otherwise(F.lit("\n\nKind regards,\nAna Ruiz\nNorth office"))
+    body = F.concat("text", tail)
+    return _t(spark, d, "documents").select("doc_id", tx.is_clipped(body).alias("clipped"), F.md5(tx.core_text(body).cast("binary")).alias("core"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '&lt;a&amp;b@x.example&gt;' ELSE '(address not recorded)' END AS label FROM customer")
+def address_labels(spark, d):
+    """F30."""
+    return _t(spark, d, "customer").select("c_custkey", tx.address_label(F.when(F.col("c_custkey") % 2 == 0, F.lit("a&b@x.example")).otherwise(F.lit("unknown:a"))).alias("label"))
+
+
+@_query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'part-' || p_partkey || '.png' WHEN 1 THEN 'image-' || p_size || '.jpg' ELSE 'image-' || p_size || '.png' END AS name FROM part""")
+def picture_names(spark, d):
+    """the address's file name, the payload's kind, or a number."""
+    k = F.col("p_partkey") % 3
+    source = F.when(k == 0, F.concat(F.lit("https://i.example/a/part%20"), F.col("p_partkey"), F.lit(".png?w=1"))).when(k == 1, F.lit("data:image/jpeg;base64,AA")).otherwise(F.lit("cid:1"))
+    return _t(spark, d, "part").select("p_partkey", tx.inline_image_name(source, F.col("p_size")).alias("name"))
+
+
+@_query("SELECT p_partkey, p_partkey % 4 IN (0, 1) AS shown, p_partkey % 2 = 0 AS raster FROM part")
+def safe_pictures(spark, d):
+    """H3, H4."""
+    k = F.col("p_partkey") % 4
+    source = F.get(F.array(*[F.lit(x) for x in ("data:image/png;base64,AA==", "https://i.example/1.png", "http://i.example/1.png", "https://u:p@i.example/1.png")]), k.cast("int"))
+    mime = F.when(F.col("p_partkey") % 2 == 0, F.lit("image/webp; q=1")).otherwise(F.lit("image/svg+xml"))
+    return _t(spark, d, "part").select("p_partkey", (tx.safe_image_source(source) != "").alias("shown"), tx.raster_mime(mime).alias("raster"))
+
+
+@_query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE strftime(a.ts, '%m-%d %H:%M') = strftime(b.ts, '%m-%d %H:%M')")
+def same_minute(spark, d):
+    """pairs of a user's events in one minute of the day and month, joined on that minute."""
+    ts = F.col("ts").cast("timestamp")
+    e = _t(spark, d, "events").select("event_id", "user_id", ts.alias("ts"), F.date_format(ts, "MM-dd HH:mm").alias("minute"))
+    a, b = e.withColumnsRenamed({"event_id": "a", "ts": "a_ts"}), e.withColumnsRenamed({"event_id": "b", "ts": "b_ts"})
+    return a.join(b, ["user_id", "minute"]).where("a < b").where(tx.same_day_clock(F.col("a_ts"), F.col("b_ts"))).select("a", "b")
+
+
+@_query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Email Thread' ELSE 'Page ' || page_id END AS subject FROM pages")
+def page_titles(spark, d):
+    """S7."""
+    title = F.when(F.col("page_id") % 3 == 0, F.lit(" - Outlook")).otherwise(F.concat(F.lit("Page "), F.col("page_id"), F.lit(" – Outlook Web")))
+    return _t(spark, d, "pages").select("page_id", tx.title_subject(title).alias("subject"))
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'b.example-' || p_partkey ELSE 'c' END AS chosen FROM part""")
+def fallback_columns(spark, d):
+    """S3: the first strategy that finds something."""
+    second = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("b.example-"), F.col("p_partkey")))
+    return _t(spark, d, "part").select("p_partkey", tx.first_filled(F.lit(""), second, F.lit("c")).alias("chosen"))
+
+
+@_query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1")
+def distinct_attachments(spark, d):
+    """A5: files of a customer distinct by name, size label and address."""
+    f = F.struct(F.col("o_orderpriority").alias("name"), F.lit("x").alias("mime_type"), F.lit("1 KB").alias("size_label"), F.lit("u").alias("download_url"))
+    files = _t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(f).alias("f"))
+    return files.select("o_custkey", F.size(aggregate.distinct_attachments(F.col("f"))).cast("long").alias("n"))
+
+
+@_query("""
+WITH c AS (SELECT doc_id, text, lead(doc_id) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS other FROM documents),
+p AS (SELECT c.doc_id AS a, c.other AS b, c.text AS x, d.text AS y FROM c JOIN documents d ON d.doc_id = c.other)
+SELECT a, b, x = y OR (least(length(x), length(y)) >= 40 AND starts_with(y, x)) AS same FROM p""")
+def same_words(spark, d):
+    """Neighbours with one first line; the first of each pair counts as clipped."""
+    docs = _t(spark, d, "documents")
+    other = F.lead("doc_id").over(Window.partitionBy(F.get(F.split("text", "\n"), F.lit(0))).orderBy("doc_id"))
+    pairs = docs.select(F.col("doc_id").alias("a"), other.alias("b"), F.col("text").alias("x")).join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return pairs.select("a", "b", tx.same_words(F.col("x"), F.col("y"), F.lit(True), F.lit(False)).alias("same"))
+
+
+@_query()
+def folded_pictures(spark, d):
+    """Payloads folded to their digests."""
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("text").cast("binary"))).alias("source"))
+    return docs.select("doc_id", markup.text_udf(markup.fold_source)(F.col("source")).alias("folded"))
+
+
+def nested_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's last turn as a container that quotes all earlier turns inside one another."""
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("l"))
+    body = lambda x: F.concat(F.lit("<div>"), F.replace(tx.escape_html(F.coalesce(x["text"], F.lit(""))), F.lit("\n"), F.lit("<br>")), F.lit("</div>"))
+    attribution = lambda x: F.concat(
+        F.lit('<div class="gmail_attr">On Fri, Apr 10, 2026 at '), (x["turn"] % 12 + 1).cast("string"), F.lit(":00 AM "), x["role"], F.lit(' &lt;<a href="mailto:'), x["role"], F.lit('@example.net">'), x["role"], F.lit("@example.net</a>&gt; wrote:<br></div>")
+    )
+    start = F.struct(F.lit("").alias("html"), F.lit("").alias("attr"))
+    folded = F.aggregate(
+        "l",
+        start,
+        lambda a, x: F.struct(
+            F.concat(body(x), F.when(a["attr"] == "", F.lit("")).otherwise(F.concat(F.lit('<div class="gmail_quote">'), a["attr"], F.lit('<blockquote class="gmail_quote">'), a["html"], F.lit("</blockquote></div>")))).alias("html"),
+            attribution(x).alias("attr"),
+        ),
+        lambda a: a["html"],
+    )
+    none = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGE.fields}
+    last = F.element_at("l", -1)
+    head = none | {
+        "thread_id": F.col("conv_id").cast("string"), "id": F.concat_ws("-", "conv_id", last["turn"]), "ord": F.lit(0), "idx": F.lit(0), "source": F.lit("direct"),
+        "sender": F.struct(last["role"].alias("name"), F.concat(last["role"], F.lit("@example.net")).alias("email")), "ts": F.lit("2026-04-11 00:00:00").cast("timestamp"),
+    }
+    return c.select(
+        F.col("conv_id").cast("string").alias("thread_id"), F.lit("s").alias("session"), F.lit(0).alias("seq"), F.lit("user@example.net").alias("current_user"),
+        F.struct(*[head[n].cast(MESSAGE[n].dataType).alias(n) for n in MESSAGE.fieldNames()]).alias("message"), folded.alias("html"), F.array().cast("array<string>").alias("image_sources"),
+    )
+
+
+@_query(r"""
+SELECT conv_id::VARCHAR AS thread_id, md5(regexp_replace(text, '[\s\x{00A0}]+', '', 'g')) AS words, turn = max(turn) OVER (PARTITION BY conv_id) AS direct, role || '@example.net' AS email FROM conversations WHERE length(trim(text)) > 0""")
+def nested_history(spark, d):
+    """Every turn comes back out of one container that quotes them all."""
+    from .operators.split import split
+
+    rows = split(nested_pages(spark, d))
+    words = F.md5(F.regexp_replace("body", r"[\s ]+", "").cast("binary"))
+    return rows.select("thread_id", words.alias("words"), (F.col("source") == "direct").alias("direct"), F.col("sender.email").alias("email"))
+
+
+@_query("SELECT conv_id::VARCHAR AS thread_id, count(*) AS messages FROM conversations GROUP BY 1")
+def rebuilt_threads(spark, d):
+    """The main job: last turns that quote everything, merged with the last two turns as direct messages, give each turn once."""
+    from .operators.split import split
+
+    m = messages(spark, d)
+    late = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("ord")))
+    direct = m.withColumn("r", late).where("r = 2").drop("r")
+    clock = F.timestamp_seconds(F.lit(1_775_779_200) + (F.col("ord") % 12 + 1) * 3600)
+    both = split(nested_pages(spark, d)).unionByName(direct.withColumns({"ts": clock, "ord": F.col("ord") + 1_000_000}))
+    return reconcile.reconcile(both).groupBy("thread_id").agg(F.count("*").alias("messages"))

@@ -108,6 +108,9 @@ class Provider:
     sender: Callable[[Node, int], tuple[str, str]]
     attachments: Callable[[Node], list[dict]]
     ids: tuple[str, ...]
+    users: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    subjects: str = ""
+    suffix: str = ""
     recipients: str = (
         '.hb [email], .g2[email], [data-recipient-email], [data-recipient-type] [email], [data-testid="recipient"], [class*="Recipient"] [title]'
     )
@@ -173,6 +176,8 @@ PROVIDERS: dict[str, Provider] = {
         _clicked_sender,
         _chips,
         ("data-message-id",),
+        (("[data-ogsr-up] [data-email]", ("data-email",)), ('a[href*="myaccount.google.com"], [aria-label*="Google Account"]', ("title", "aria-label"))),
+        ".hP, h2[data-legacy-thread-id]",
     ),
     "outlook": Provider(
         "outlook",
@@ -182,6 +187,9 @@ PROVIDERS: dict[str, Provider] = {
         _titled_sender,
         _linked_files,
         ("data-unique-id",),
+        (('[aria-label*="profile"], [aria-label*="account"], [aria-label*="Account manager"], [data-automationid="meControl"]', ("title", "aria-label")),),
+        '[data-testid="subject"], [aria-label="Subject"], .allowTextSelection h1, h1[class*="subject" i], .jGFnO',
+        r"\s*[-–|]\s*Outlook.*$",
     ),
 }
 
@@ -191,6 +199,25 @@ def register(provider: Provider) -> None:
     PROVIDERS[provider.name] = provider
 
 
+def page_user(page: str, client: str) -> str:
+    """The address of the account that a page belongs to, lower case, empty where it is not shown."""
+    root = markup.parse(page)
+    for selector, attrs in PROVIDERS[client].users:
+        for n in Selector(selector).all(root):
+            for a in attrs:
+                if m := _MAIL.search(n.attrs.get(a, "")):
+                    return m[0].lower()
+    return ""
+
+
+def page_subject(page: str, client: str) -> str:
+    """The subject that a page shows, else its title without the provider's suffix, else the default."""
+    p, root = PROVIDERS[client], markup.parse(page)
+    shown = next((n.content.strip() for n in Selector(p.subjects).all(root) if n.content.strip()), "")
+    title = next((n.content for n in root.elements("title")), "") if p.suffix else ""
+    return shown or re.sub(p.suffix, "", title, flags=re.I).strip() or "Email Thread"
+
+
 def recipients_of(el: Node, body: Node, provider: Provider) -> list[str]:
     """Distinct addresses of header chips, not of the body."""
     out: dict[str, None] = {}
