@@ -104,6 +104,16 @@ def test_repeated_windows(spark, monkeypatch, flush):
     assert got == dict(enumerate(removed(docs)))
 
 
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "MIN_BITS", 4)
+    monkeypatch.setattr(sketch, "MAX_BYTES", 256)
+    docs = corpus(6)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert substring_dedup.passes_for(df) == substring_dedup.MAX_PASSES
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(df).collect()}
+    assert got == dict(enumerate(removed(docs)))
+
+
 def test_window_cases(spark):
     text = " ".join(f"v{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, "a b"), (3, None), (1, text + " more")], "doc_id long, text string")

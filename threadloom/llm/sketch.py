@@ -25,9 +25,9 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def bits_of(buckets: float, rows: int = 1, levels: int = 1) -> int:
-    """Enough bits for so many buckets in each row, within the bounds."""
-    most = (8 * MAX_BYTES // (rows * levels)).bit_length() - 1
-    return max(MIN_BITS, min(most, int(np.ceil(np.log2(max(1.0, buckets))))))
+    """Enough bits for so many buckets in each row, within the bounds; without an upper bound where ``rows`` is 0."""
+    wanted = max(MIN_BITS, int(np.ceil(np.log2(max(1.0, buckets)))))
+    return wanted if not rows else min((8 * MAX_BYTES // (rows * levels)).bit_length() - 1, wanted)
 
 
 def bits_for(df: DataFrame, buckets_a_byte: float, rows: int = 1, levels: int = 1) -> int:
@@ -60,7 +60,8 @@ class Planes:
 
     def put(self, row: int, block: int, planes: bytes) -> None:
         part = np.frombuffer(planes, np.uint8).reshape(len(self.levels), -1)
-        self.plane[:, row, block * (BLOCK // 8) : block * (BLOCK // 8) + part.shape[1]] = part
+        room = self.plane[:, row, block * (BLOCK // 8) :][:, : part.shape[1]]
+        room[:] = part[:, : room.shape[1]]
 
     def least(self, keys: np.ndarray, level: int = 0) -> np.ndarray:
         """Which keys are estimated at the level's count or more; no key that reaches it is missed."""

@@ -21,6 +21,7 @@ extra columns stay; columns named like a result are replaced; an empty table sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ WINDOW, ANCHOR = 35, 16
 ROWS = 2
 #: Sketch buckets for each byte of the input's files: about four for each anchor.
 BUCKETS_A_BYTE = 1 / 14
+#: Passes over the texts at the most, each with a sketch of its own part of the anchors, where one sketch would be too large.
+MAX_PASSES = 4
 _FLUSH = 1 << 21
 OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
@@ -67,18 +70,30 @@ class Windows:
         self.anchor = _anchors(self.grams, len(self.words) - WINDOW + 1, WINDOW - ANCHOR + 1)[self.at] if len(self.at) else np.zeros(0, int)
 
 
-def estimate(df: DataFrame, text: str = "text") -> sketch.Planes:
-    """The merged sketch of all anchors of a table."""
+def passes_for(df: DataFrame) -> int:
+    """How many passes keep the sketches as sparse as intended, up to ``MAX_PASSES``."""
+    wanted, held = (sketch.bits_for(df, BUCKETS_A_BYTE, rows) for rows in (0, ROWS))
+    return min(MAX_PASSES, 1 << max(0, wanted - held))
+
+
+def _part(keys: np.ndarray, passes: int) -> np.ndarray:
+    """The pass that each anchor belongs to, by bits that the sketch's buckets do not use first."""
+    return keys & np.uint64(passes - 1)
+
+
+def estimate(df: DataFrame, text: str = "text", number: int = 0, passes: int = 1) -> sketch.Planes:
+    """The merged sketch of the anchors of one pass (a power of two of them) over a table."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, run in tokens.raw(batch.column(0)):
             w = Windows(run)
-            yield w.grams[np.unique(w.anchor)]
+            found = w.grams[np.unique(w.anchor)]
+            yield found[_part(found, passes) == number]
 
-    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE, ROWS), ROWS)
+    return sketch.build(df.select(text), keys, sketch.bits_for(df, BUCKETS_A_BYTE / passes, ROWS), ROWS)
 
 
-def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
+def _candidates(rows: DataFrame, sent: Broadcast, number: int = 0, passes: int = 1) -> DataFrame:
     """Windows estimated repeated, first settled within a task.
 
     The lowest two bits of ``place`` are 1 for a window that the task holds once, 2 for one row
@@ -121,7 +136,8 @@ def _candidates(rows: DataFrame, sent: Broadcast) -> DataFrame:
                 w = Windows(run)
                 if not len(w.at):
                     continue
-                at = w.at[planes.least(w.grams[w.anchor])]
+                anchors = w.grams[w.anchor]
+                at = w.at[planes.least(anchors) & (_part(anchors, passes) == number)]
                 if not len(at):
                     continue
                 row = np.searchsorted(w.ends, at, "right") - 1
@@ -160,10 +176,13 @@ def _cut() -> F.udf:
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text``: the words no repeated window covers, joined by one space."""
-    sent = df.sparkSession.sparkContext.broadcast(estimate(df, text))
+    passes = passes_for(df)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     key = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
-    rows = _candidates(df.select(F.col(text).alias("t"), doc.alias("doc"), key.alias("k")), sent)
+    slim = df.select(F.col(text).alias("t"), doc.alias("doc"), key.alias("k"))
+    send = df.sparkSession.sparkContext.broadcast
+    # equal windows have equal anchors and so meet in one pass; their rows are grouped together afterwards
+    rows = reduce(DataFrame.unionAll, [_candidates(slim, send(estimate(df, text, i, passes)), i, passes) for i in range(passes)])
     n = F.col("place").bitwiseAND(F.lit(3))
     total = F.sum(n).over(Window.partitionBy("h1", "h2"))
     repeated = rows.withColumn("total", total).where((n == 0) | ((n == 1) & (F.col("total") >= 2)))
