@@ -97,3 +97,15 @@ def test_search(spark):
     rows = frame(spark, [direct("a", "Hello World"), direct("b", LONG_BODY, quoted_variants=[{"body": "hidden word", "body_html": None}])])
     ids = lambda n, e=None: [r.id for r in query.find(rows, e, n).collect()]
     assert ids("WORLD") == ["a"] and ids("hidden") == ["b"] and ids("  ") == ["a", "b"] and ids("ruiz") == ["a", "b"] and ids("hello ", "nobody") == []
+
+
+def test_noise_in_both_forms(spark):
+    from threadloom.operators import reconcile as rc
+
+    texts = [
+        "plain words only", "ⓘ note", "a️b", "see [image: logo] here", "[Image unavailable: x] y", "Image removed by sender. z", "[ CAUTION: outside ] hi", "External E-mail:\nhello", "> warning - check it\nwords",
+        "This message originated from outside the firm.\n\nreal words", "This e-mail was sent from an external source\n\nreal", "Do not click links or open attachments unless sure.\n\nreal", "Hi\n-- \nAna", "Hi\n\nSent from my iPhone",
+        "Best regards", "> > quoted\nreply", "cut ... [Message clipped] rest", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", tx.core_text(F.col("t")).alias("c")).collect()
+    assert {r.n: r.c for r in rows} == {i: rc.core(t) for i, t in enumerate(texts)}

@@ -48,6 +48,8 @@ NOISE = (
     r"(?i)\bthis\s+(?:e-?mail|message)\s+(?:originated|was\s+sent|came)\s+from\s+(?:outside|an\s+external)[\s\S]{0,200}?(?:\n\s*\n|\z)",
     r"(?i)\bdo\s+not\s+click\s+(?:any\s+)?links\s+or\s+open\s+attachments[\s\S]{0,200}?(?:\n\s*\n|\z)",
 )
+#: What every one of the marks begins with or holds.
+_ANY_NOISE = r"(?i)[ⓘℹ\ufe0f⚠❯▶\[]|image removed|external|caution|warning|this\s+(?:e-?mail|message)|do\s+not\s+click"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -200,8 +202,8 @@ def is_clipped(body: Column) -> Column:
 
 
 def without_noise(body: Column) -> Column:
-    """F21."""
-    return reduce(lambda c, p: F.regexp_replace(c, p, " "), NOISE, body)
+    """F21. Bodies without any of the marks, which are most, are looked at once instead of once for each mark."""
+    return F.when(body.rlike(_ANY_NOISE), reduce(lambda c, p: F.regexp_replace(c, p, " "), NOISE, body)).otherwise(body)
 
 
 def core_text(body: Column, nfkc=None) -> Column:
