@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import trim
+
 #: Bytes that are printable and stand for themselves in a byte-level vocabulary; the others follow from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Words remembered by each Python worker, in two generations: the older one goes when the younger is full.
 CACHE_WORDS = 150_000
+_RUN = 1 << 20
 OUT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
 
@@ -197,15 +200,14 @@ def transcoder(path: str):
         bpe = load(path)
         token = np.array([bpe.token[i] for i in range(len(bpe.token))], dtype=object)
         for batch in batches:
-            done = []
-            for run in slices(batch):
+            for run in slices(batch, _RUN):
                 ids = [np.frombuffer(bpe.encode_bytes(t), np.int32) for t in run]
                 ends = np.zeros(len(run) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 decoded = pa.array([" ".join(token[x].tolist()) for x in ids], pa.string())
-                done.append(pa.StructArray.from_arrays([lists, decoded], ["ids", "decoded"]))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+                yield pa.StructArray.from_arrays([lists, decoded], ["ids", "decoded"])
+        trim()
 
     return transcode
 

@@ -183,7 +183,10 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
             totals.append(np.concatenate(found) if found else np.zeros(0, np.int64))
         all_words = int(right.column("words").to_numpy()[order == 0].sum())  # each partition answers once for single words
         n_words, sums = block.score(totals, all_words)
-        return pa.table([left.column("row"), pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(sums)], fields=list(scored))], ["row", "s"])
+        out = pa.table([left.column("row"), pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(sums)], fields=list(scored))], ["row", "s"])
+        del block, totals
+        tokens.trim()
+        return out
 
     schema = dealt.select("row").schema
     kind = schema.add("s", T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())]))

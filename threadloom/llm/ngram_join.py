@@ -97,6 +97,7 @@ def _sets(df: DataFrame, sent: Broadcast) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 names = [batch.column(i).slice(begin, len(rows)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(names + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "k", "n", "s1", "s2", "shingles"])
+        tokens.trim()
 
     return df.mapInArrow(made, _SETS)
 
@@ -135,8 +136,11 @@ def _sift(sets: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
                 cols = zip(zip(*rows, strict=True), kinds, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], ["id", "n", "n0", "m0", "m1", "common", "shingles"])
+        tokens.trim()
 
-    return materialize(sets.select("id", "shingles").mapInArrow(sifted, _SIFTED), "ngram-sifted")
+    out = materialize(sets.select("id", "shingles").mapInArrow(sifted, _SIFTED), "ngram-sifted")
+    sent.destroy()  # the sets are written, nothing asks the sketch again
+    return out
 
 
 def _lead(sets: DataFrame, key: str, salts: int) -> DataFrame:
@@ -250,6 +254,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sent = spark.sparkContext.broadcast(estimate(df, text))
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     base = materialize(_sets(df.select(ids.alias("doc"), _print(text).alias("k"), F.col(text).alias("t")), sent), "ngram-sets")
+    sent.destroy()  # the sets are written, nothing asks the sketch again
     several = base.where("shingles is not null").groupBy("s1", "s2")
     reps = materialize(several.agg(F.min("doc").alias("id"), F.first("shingles").alias("shingles")), "ngram-reps")
     sets = _sift(_sift(reps))

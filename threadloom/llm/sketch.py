@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tokens import trim
+
 BLOCK = 1 << 16
 #: What a sketch sends to the executors, at the most.
 MAX_BYTES = 128 << 20
 MIN_BITS = 16
-_FLUSH, _UNKNOWN = 1 << 22, 1 << 60
+_FLUSH, _UNKNOWN = 1 << 21, 1 << 60
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -106,6 +108,8 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                     held, size = [], 0
         if held:
             yield from emit(held)
+        held = None
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, np.zeros(BLOCK, np.uint16)

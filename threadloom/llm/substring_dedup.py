@@ -148,6 +148,8 @@ def _candidates(rows: DataFrame, sent: Broadcast, number: int = 0, passes: int =
                     held, size = [], 0
         if held:
             yield settled(held)
+        held = None
+        tokens.trim()
 
     return rows.mapInArrow(found, "h1 bigint, h2 bigint, doc bigint, place bigint")
 

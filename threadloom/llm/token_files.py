@@ -22,8 +22,6 @@ extra columns are not stored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import os
 import zlib
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .tokens import raw
+from .tokens import raw, trim
 
 MAGIC, VERSION = b"TLRP", 1
 END_ID = 1
@@ -220,12 +218,6 @@ def cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
-def _trim() -> None:
-    """Give freed memory back to the system, where the C library can: a worker lives on and its neighbours need it."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def repair(ids: np.ndarray, base: int, end: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair by rounds: (sequence, rules, original places of the sequence's symbols).
 
@@ -350,7 +342,7 @@ def write(df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", tex
         if docs:
             yield done()
         docs = ids = ends = None
-        _trim()
+        trim()
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
     placed = rows.repartitionByRange(ranges, F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first(), "t")
@@ -365,7 +357,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _CACHES.values():  # a worker that has written before holds words that reading needs no more
             words.young, words.old = {}, {}
-        _trim()
+        trim()
         for batch in batches:
             for before, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(blob)

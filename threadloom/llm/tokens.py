@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,14 @@ import pyarrow as pa
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def raw(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+def trim() -> None:
+    """Give freed memory back to the system, where the allocators can: a worker lives on after its task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def raw(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts as UTF-8, null as empty, each run of bounded size or one text; with the place of its first."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
