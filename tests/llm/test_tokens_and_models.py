@@ -96,6 +96,20 @@ def test_wide_symbols():
     assert (shard.ids(0) == ids).all()
 
 
+def test_rules_grow_until_no_pair_is_frequent():
+    rnd = np.random.default_rng(1)
+    passage, docs = rnd.integers(100, 4000, 300), []
+    for i in range(120):
+        docs.append(np.concatenate((rnd.integers(100, 4000, 20), passage, np.full(i, 9), [1])))
+    ids = np.concatenate(docs).astype(np.int32)
+    starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    shard = token_files.Shard(token_files.pack(np.arange(120), starts, ids, 5000))
+    assert all((shard.ids(i) == docs[i]).all() for i in range(120))
+    pairs = Counter((a, b) for a, b in zip(shard.seq[:-1].tolist(), shard.seq[1:].tolist(), strict=True) if 1 not in (a, b))
+    assert shard.lengths.max() >= 300 and max(pairs.values()) < token_files.LEAST_COUNT
+    assert len(shard.seq) < 30 * 120
+
+
 def brute_scores(texts):
     ws = [(t or "").encode().lower().split() for t in texts]
     grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]

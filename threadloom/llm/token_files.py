@@ -2,8 +2,8 @@
 
 Documents are dealt into ranges of ascending ``doc_id``. Each task turns its range into
 shards of about ``SHARD_IDS`` ids and compresses each with Re-Pair: the frequent
-adjacent pairs of symbols are replaced by nonterminals, again and again, as long as it
-pays. A shard stores its rules, the length that each rule expands to, the remaining
+adjacent pairs of symbols are replaced by nonterminals, again and again, until no pair
+is left ``LEAST_COUNT`` times. A shard stores its rules, the length that each rule expands to, the remaining
 sequence, and where every document begins in it. No rule crosses the end of a document,
 so a document is decoded by expanding its own symbols only; ``Shard.lengths`` also places
 any id without expanding what is before it.
@@ -40,8 +40,8 @@ from .tokens import raw, trim
 MAGIC, VERSION = b"TLRP", 1
 END_ID = 1
 SHARD_IDS = 1 << 19
-#: Re-Pair: pairs replaced in one round, least occurrences of a pair, rounds, and the shrinkage that makes a round worth while.
-PAIRS_A_ROUND, LEAST_COUNT, ROUNDS, GAIN = 512, 32, 3, 0.03
+#: Re-Pair: pairs replaced in one round, and least occurrences of a pair.
+PAIRS_A_ROUND, LEAST_COUNT = 2048, 32
 #: Bytes of input files for each range of documents.
 RANGE_BYTES = 12 << 20
 #: Ranges at the most, which bounds the table of their sizes (16 bytes each) that a reader broadcasts.
@@ -49,6 +49,8 @@ MAX_RANGES = 1 << 20
 #: Words in one generation of a worker's cache.
 CACHE_WORDS = 350_000
 _COUNT_BITS, _RUN = 17, 1 << 19
+#: 16-bit symbols that a rule takes up.
+_RULE = 6
 
 
 class WordCache:
@@ -223,23 +225,26 @@ def repair(ids: np.ndarray, base: int, end: int = END_ID) -> tuple[np.ndarray, n
 
     Each round counts adjacent pairs in a table of hashed buckets, counts the pairs of full
     buckets exactly, and replaces the most frequent ones. Where chosen pairs overlap, the
-    more frequent one is replaced, and the left one of equals.
+    more frequent one is replaced, and of equals every other one from the left. Rounds go on
+    until no pair reaches ``LEAST_COUNT``, or symbols of 16 bits run out: one more rule would
+    widen every symbol.
     """
     seq, place, rules = ids.astype(np.int32), np.arange(len(ids), dtype=np.int32), []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    n_rules, most = 0, (1 << 16) - base if base <= 1 << 16 else 1 << 31
+    while len(seq) > 1 and n_rules < most:
         a, b = seq[:-1], seq[1:]
         bucket = ((a.astype(np.uint32) * np.uint32(2654435761) + b.astype(np.uint32) * np.uint32(40503)) >> np.uint32(32 - _COUNT_BITS)).astype(np.int32)
-        full = np.bincount(bucket, minlength=1 << _COUNT_BITS)
-        limit = max(LEAST_COUNT, int(np.partition(full, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        at = np.flatnonzero((full >= limit)[bucket] & (a != end) & (b != end))
-        key = a[at].astype(np.int64) << 32 | b[at]
-        codes, kinds = pd.factorize(key)
-        n = np.bincount(codes, minlength=len(kinds))
-        chosen = np.lexsort((kinds, -n))[:PAIRS_A_ROUND]
-        chosen = chosen[n[chosen] >= LEAST_COUNT]
+        apart = (a == end) | (b == end)
+        full = np.bincount(bucket, minlength=1 << _COUNT_BITS) - np.bincount(bucket[apart], minlength=1 << _COUNT_BITS)
+        for limit in (max(LEAST_COUNT, int(np.partition(full, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])), LEAST_COUNT):
+            at = np.flatnonzero((full >= limit)[bucket] & ~apart)
+            key = a[at].astype(np.int64) << 32 | b[at]
+            codes, kinds = pd.factorize(key)
+            n = np.bincount(codes, minlength=len(kinds))
+            chosen = np.lexsort((kinds, -n))[: min(PAIRS_A_ROUND, most - n_rules)]
+            chosen = chosen[n[chosen] >= LEAST_COUNT]
+            if len(chosen) or limit == LEAST_COUNT:
+                break
         if not len(chosen):
             break
         rank = np.full(len(kinds) + 1, PAIRS_A_ROUND, np.int32)
@@ -247,16 +252,21 @@ def repair(ids: np.ndarray, base: int, end: int = END_ID) -> tuple[np.ndarray, n
         here = np.full(len(seq) + 1, PAIRS_A_ROUND, np.int32)
         here[at + 1] = rank[codes]
         mid = here[1:-1]
+        same = np.flatnonzero((mid == here[:-2]) & (mid < PAIRS_A_ROUND))  # inside runs of one symbol
+        if len(same):
+            first = np.concatenate(([True], np.diff(same) > 1))
+            nth = np.arange(len(same)) - np.maximum.accumulate(np.where(first, np.arange(len(same)), 0))
+            mid[same[nth % 2 == 0]] = PAIRS_A_ROUND
         put = np.flatnonzero((mid < PAIRS_A_ROUND) & (mid < here[:-2]) & (mid <= here[2:]))
-        if len(put) < GAIN * len(seq):
-            break
-        picked = kinds[chosen]
+        good = np.bincount(mid[put], minlength=len(chosen)) > _RULE  # where others took its places, a pair waits for the next round
+        put = put[good[mid[put]]]
+        picked = kinds[chosen[good]]
         rules.append(np.stack((picked >> 32, picked & 0xFFFFFFFF), 1).astype(np.int32))
-        seq[put] = base + n_rules + mid[put]
+        seq[put] = base + n_rules + (np.cumsum(good) - 1)[mid[put]]
         stay = np.ones(len(seq), bool)
         stay[put + 1] = False
         seq, place = seq[stay], place[stay]
-        n_rules += len(chosen)
+        n_rules += len(picked)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int32), place
 
 
