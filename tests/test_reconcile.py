@@ -117,6 +117,18 @@ def test_column_forms_agree(spark):
     assert [r[0] for r in df.select(rc.pictures_conflict_col(F.col("a"), F.col("b"))).collect()] == [rc.pictures_conflict(a, b) for a, b in lists]
 
 
+def test_near_copies_are_found_wherever_words_are_put_in(spark):
+    said = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    texts = [(0, " ".join(said), "en"), (1, " ".join(["well", *said]), "en"), (2, " ".join([*said, "indeed"]), "de"), (3, " ".join([said[0], "so", *said[1:]]), None)]
+    texts += [(4, " ".join(["not", *said]), "en"), (5, " ".join(said), None), (6, " ".join([*said, "7"]), "en"), (7, ". ".join(said).upper(), "en"), (None, " ".join(said), "en"), (8, "?" * 200, "en"), (9, "!" * 200, None)]
+    texts += [(10 + n, " ".join([*said, *["and"] * n]), "en") for n in range(6, 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    want = sorted((a, b) for a, t, _ in texts for b, u, _ in texts if None not in (a, b) and a < b and (rc.near_copy(t.lower(), u.lower()) or (a, b) == (8, 9)))
+    assert sorted(map(tuple, rc.near_copy_pairs(docs).collect())) == want
+    assert {(0, 1), (0, 2), (0, 3), (0, 5), (0, 7), (0, 16), (0, 17)} <= set(want) and not {(0, 4), (0, 6), (0, 18)} & set(want)
+    assert rc.near_copies(docs)[0].select("body").distinct().count() == 11
+
+
 def test_participation(spark):
     rows = [direct("a", "x"), direct("b", "y", recipients=["bo@firma.example"]), direct("c", "z", email="bo@firma.example")]
     find = lambda rs, user: [(r.message_id, r.kind) for r in aggregate.participation(frame(spark, rs), F.lit(user)).collect()]

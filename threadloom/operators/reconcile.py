@@ -407,6 +407,43 @@ def near_copy_col(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= LONG) & pair
 
 
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """X4 over a whole table: (members: ``body``, ``id``; pairs: ``few``, ``many``).
+
+    Texts of the same words are one body, named by a digest of them. A pair names a body and
+    one with words put in. Its candidates are complete: all words of the shorter are in the
+    longer, which has at most ``1 - NEAR_RATIO`` of its own besides. So in any order of words,
+    the shorter's first is among as many first ones of the longer and one more; the order is
+    by length, as long words are rare. Null keys are left out.
+    """
+    whole = docs.where(F.col(key).isNotNull() & (F.length(text) >= LONG)).select(F.col(key).alias("id"), F.lower(text).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))
+    body = lambda w: F.md5(F.array_join(w, " ").cast("binary"))
+    rank = lambda x: F.shiftleft(-F.least(F.length(x), F.lit(127)).cast("long"), 56).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 56) - 1)))
+    order = lambda w: F.sort_array(F.array_distinct(F.transform(w, rank)))
+    rest = lambda n: (n - F.ceil(NEAR_RATIO * n - 1e-9) + 1).cast("int")
+    read = whole.select("id", tx.let(words, lambda w: F.struct(body(w).alias("body"), F.size(w).alias("n"), F.slice(order(w), F.lit(1), rest(F.size(w))).alias("first"))).alias("r"))
+    bodies = read.groupBy("r.body").agg(F.min("id").alias("id"), F.first("r.n").alias("n"), F.first("r.first").alias("first"))
+    few = bodies.where("n > 0").select(F.get("first", F.lit(0)).alias("word"), F.col("n").alias("few_n"), F.struct("body", "id").alias("few"))
+    many = bodies.select(F.explode("first").alias("word"), F.col("n").alias("many_n"), F.struct("body", "id").alias("many"))
+    likely = few.join(many, "word").where((F.col("few_n") < F.col("many_n")) & (F.col("few_n") >= NEAR_RATIO * F.col("many_n"))).select("few", "many")
+
+    def texts(side: str) -> DataFrame:
+        wanted = likely.select(f"{side}.*").distinct()
+        return whole.join(wanted, "id").where(body(words) == F.col("body")).groupBy("body").agg(F.first("text").alias(f"{side}_text")).withColumnRenamed("body", side)
+
+    pairs = likely.select(F.col("few.body").alias("few"), F.col("many.body").alias("many")).join(texts("few"), "few").join(texts("many"), "many")
+    return read.select("r.body", "id"), pairs.where(near_copy_col(F.col("few_text"), F.col("many_text"))).select("few", "many")
+
+
+def near_copy_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same as pairs of keys, (a, b) with a < b: members of one body, and of two bodies that are a pair."""
+    members, pairs = near_copies(docs, key, text)
+    a, b = members.withColumnRenamed("id", "a"), members.withColumnRenamed("id", "b")
+    across = pairs.join(a.withColumnRenamed("body", "few"), "few").join(b.withColumnRenamed("body", "many"), "many").where("a <> b")
+    return a.join(b, "body").where("a < b").select("a", "b").unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def copy_groups(messages: DataFrame, least: int = EXACT) -> DataFrame:
     """Groups of word-for-word copies: thread, core, how many, their ids."""
     found = evidence(messages).where(F.length("core") >= least)
