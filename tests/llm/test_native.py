@@ -74,6 +74,26 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find(df.where("false")).count() == 0 and pii.redact(df.where("false")).columns == df.columns
 
 
+def test_contexts_of_other_shapes(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    shapes = ["Key: {}", "line\nsecretkey {}", "the record {n} signer {}", "{} signature", "batch {n} {}"]
+    rows = [(20 * k + i, s.format(key((k, i)), n=i)) for k, s in enumerate(shapes) for i in range(12)]
+    new = [(1000 + k, s.format("acct-77-zeta-" + str(k), n=99)) for k, s in enumerate(shapes)]
+    df = spark.createDataFrame([*rows, *new], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.spell(F.col("spans")).alias("s")).collect()}
+    for i, t in new:
+        at = t.index("acct")
+        assert got[i] == f"secret:{at}:{at + 14}", (t, got[i])
+
+
+def test_beliefs_spread_until_nothing_changes(spark):
+    groups = [[hashlib.sha1(str(i).encode()).hexdigest() for i in range(20)], *[[f"acct-{k}-{i}-zeta" for i in range(20)] for k in range(1, 6)]]
+    texts = [f"w link{'abcde'[k]}{'abcdefghij'[j]}{c} {x}" for k in range(5) for j in range(10) for c in "ab" for x in [*groups[k], *groups[k + 1][2 * j : 2 * j + 2]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.ctx, r.rank) for r in pii.bootstrap(pii.scan(df).cache()).collect()}
+    assert {("w linkaaa", 4), ("w linkeaa", 4), ("w linkejb", 4)} <= found  # one group a round
+
+
 def test_redaction_merges_overlaps(spark):
     text = "card 4111 1111 1111 1111, +4111 1111 1111 11 a@b.co é x@y.zz"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, with built-in expressions only.
 
 Base patterns give the seeds. Every token that holds a digit or ``@`` is a candidate
-instance; the words before it on its line are its lexical pattern. Patterns and
-instances form a bipartite graph whose edges are counted once. Scoring alternates:
+instance; the words around it on its line are its lexical patterns: two before it, one
+before it, one at the start of its line, those on both sides of a number before it, and
+one after it. Patterns and instances form a bipartite graph whose edges are counted once. Scoring alternates until nothing changes:
 a pattern's confidence for a kind is the share of its distinct instances believed to
 be of that kind, an instance's belief is the noisy-or of its confident patterns.
 Confident patterns finally mark the candidates that no base pattern found.
@@ -46,7 +47,9 @@ CORE = r"[\p{L}._%+/=:-]*+[0-9@][\p{L}\p{N}@._%+/=:-]*+"
 CONTEXT_CHARS, MIN_CORE = 64, 6
 #: A pattern is believed when this many different instances of a kind have it, and this share of all of its
 #: instances, PRIOR imagined failures included.
-MIN_SUPPORT, MIN_CONFIDENCE, PRIOR, ROUNDS = 5, 0.8, 2, 3
+MIN_SUPPORT, MIN_CONFIDENCE, PRIOR = 5, 0.8, 2
+#: Beliefs only grow, in ever smaller steps; a smaller change of a confidence is none.
+LEAST_CHANGE = 1e-6
 _CHUNK = 512
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
@@ -107,7 +110,7 @@ def matches(text: Column, pattern: str) -> Column:
             _running(F.zip_with(s["m"], F.slice(s["gaps"], F.lit(1), F.size(s["m"])), lambda m, g: F.length(m) + F.length(g))),
             lambda ends: F.transform(
                 s["m"],
-                lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"), F.get(s["gaps"], i).alias("gap")),
+                lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"), F.get(s["gaps"], i).alias("gap"), F.get(s["gaps"], i - 1).alias("before"), F.get(s["gaps"], i + 1).alias("after")),
             ),
         ),
     )
@@ -125,21 +128,38 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(rank, kind) for rank, kind in enumerate(KINDS[:4])]))
 
 
+def _contexts(x: Column) -> Column:
+    """The patterns of a candidate, told apart by line ends and tabs, which no word holds."""
+    word, blank = rf"[^{WS}]+", r"[\x20\x09]+"
+    tail = F.concat(F.when(x["before"].isNull(), F.lit("\n")).otherwise(F.lit("")), x["gap"])
+    end = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+    left = F.regexp_extract(end(x["gap"]), rf"({word}){blank}$", 1)
+    two = F.regexp_extract(end(x["gap"]), rf"({word}{blank}{word}){blank}$", 1)
+    first = F.regexp_extract(end(tail), rf"[\n\r\x0b\x0c][\x20\x09]*({word}){blank}$", 1)
+    far = F.regexp_extract(end(x["before"]), rf"({word}){blank}$", 1)
+    near = F.regexp_extract(x["gap"], rf"^(?:{blank}({word}))?{blank}$", 1)
+    right = F.regexp_extract(F.left(x["after"], F.lit(CONTEXT_CHARS)), rf"^{blank}({word})", 1)
+    beyond = F.when(x["gap"].rlike(rf"^{blank}(?:{word}{blank})?$") & (far != ""), F.concat(far, F.lit("\n#\n"), near))
+    named = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c))
+    return F.transform(F.array_compact(F.array(named("", two), named("", left), named("\n", first), beyond, named("\t", right))), F.lower)
+
+
 def candidates(text: Column) -> Column:
-    """Tokens with a digit or @, as an array of (start, end, inst, ctx): the identifier's place, its value, the words before it."""
+    """Tokens with a digit or @, as an array of (start, end, inst, ctx): the identifier's place, its value, the patterns around it."""
+    held = "array<struct<start:int,end:int,m:string,gap:string,before:string,after:string>>"
     raw = F.transform(
-        F.when(text.rlike("[0-9@]"), matches(text, CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,m:string,gap:string>>")),
+        F.when(text.rlike("[0-9@]"), matches(text, CANDIDATE)).otherwise(F.array().cast(held)),
         lambda x: let(
             F.regexp_extract(x["m"], CORE, 0),
             lambda core: F.struct(
                 (x["start"] + F.instr(x["m"], core) - 1).alias("start"),
                 (x["start"] + F.instr(x["m"], core) - 1 + F.length(core)).alias("end"),
                 F.lower(core).alias("inst"),
-                F.lower(F.regexp_extract(F.right(x["gap"], F.lit(CONTEXT_CHARS)), rf"([^{WS}]+[\x20\x09]+[^{WS}]+)[\x20\x09]+$", 1)).alias("ctx"),
+                F.when(F.length(core) >= MIN_CORE, _contexts(x)).otherwise(F.array().cast("array<string>")).alias("ctx"),
             ),
         ),
     )
-    return F.filter(raw, lambda x: (F.length(x["inst"]) >= MIN_CORE) & (x["ctx"] != ""))
+    return F.filter(raw, lambda x: F.size(x["ctx"]) > 0)
 
 
 def _kind_of(base: Column, c: Column) -> Column:
@@ -165,31 +185,36 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(scanned: DataFrame, rounds: int | None = None) -> DataFrame:
     """Confident patterns: (ctx, rank, conf), one kind for each, from the pattern-instance graph of all rows.
 
     Edges are distinct (pattern, instance) pairs, so copies of a document add nothing and a
-    pattern that a third of the corpus holds is counted by partial aggregation.
+    pattern that a third of the corpus holds is counted by partial aggregation. Rounds go on
+    until no pattern is new and no confidence changes, unless a number of them is given.
     """
-    cand = scanned.select(F.explode("cands").alias("c")).select("c.ctx", "c.inst", "c.rank")
+    cand = scanned.select(F.explode("cands").alias("c")).select(F.explode("c.ctx").alias("ctx"), "c.inst", "c.rank")
     edges = materialize(cand.groupBy("ctx", "inst").agg(F.min("rank").alias("rank")), "pii-edges")
-    seeds = edges.where("rank is not null").groupBy("inst").agg(F.min("rank").alias("rank")).withColumn("belief", F.lit(1.0))
+    belief = edges.where("rank is not null").groupBy("inst").agg(F.min("rank").alias("rank")).withColumn("belief", F.lit(1.0))
     total = edges.groupBy("ctx").agg(F.count("*").alias("n_inst")).where(F.col("n_inst") >= MIN_SUPPORT)
-    belief, patterns = seeds, None
-    for step in range(rounds):
+    patterns, step = None, 0
+    while rounds is None or step < rounds:
         scored = edges.select("ctx", "inst").join(belief, "inst").groupBy("ctx", "rank").agg(F.sum("belief").alias("support"))
         best = scored.where(F.col("support") >= MIN_SUPPORT).groupBy("ctx").agg(F.max(F.struct("support", (-F.col("rank")).alias("k"))).alias("b"))
-        patterns = best.join(total, "ctx").select("ctx", (-F.col("b.k")).alias("rank"), F.least(F.lit(1.0), F.col("b.support") / (F.col("n_inst") + PRIOR)).alias("conf"))
-        patterns = materialize(patterns.where(F.col("conf") >= MIN_CONFIDENCE), "pii-patterns")
-        if step + 1 < rounds:
-            told = edges.select("ctx", "inst").join(patterns, "ctx").groupBy("inst", "rank").agg(
-                (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))).alias("belief")
-            )
-            belief = seeds.unionByName(told).groupBy("inst", "rank").agg(F.max("belief").alias("belief"))
+        found = best.join(total, "ctx").select("ctx", (-F.col("b.k")).alias("rank"), F.least(F.lit(1.0), F.col("b.support") / (F.col("n_inst") + PRIOR)).alias("conf"))
+        found = materialize(found.where(F.col("conf") >= MIN_CONFIDENCE), "pii-patterns")
+        last, patterns, step = patterns, found, step + 1
+        if last is not None:
+            was = last.select("ctx", "rank", F.col("conf").alias("was"))
+            if found.join(was, ["ctx", "rank"], "left").where(F.col("was").isNull() | (F.abs(F.col("conf") - F.col("was")) > LEAST_CHANGE)).isEmpty():
+                break
+        told = edges.select("ctx", "inst").join(patterns, "ctx").groupBy("inst", "rank").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))).alias("belief")
+        )
+        belief = materialize(belief.unionByName(told).groupBy("inst", "rank").agg(F.max("belief").alias("belief")), "pii-beliefs")
     return patterns
 
 
-def find(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(df: DataFrame, text: str = "text", rounds: int | None = None) -> DataFrame:
     """``df`` with ``base`` and ``spans``: arrays of (start, rank, end); ``spans`` holds ``base`` and what contexts add.
 
     The texts are scanned once; offsets and candidates are written to the shared folder and
@@ -203,10 +228,12 @@ def find(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
         ~F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
     )
     new = (
-        loose.select("__k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.ctx").alias("ctx"), F.col("c.rank").alias("seed"))
+        loose.select("__k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.explode("c.ctx").alias("ctx"))
         .join(patterns, "ctx")
+        .groupBy("__k", "start", "end")
+        .agg(F.max(F.struct("conf", (-F.col("rank")).alias("k"))).alias("b"))
         .groupBy("__k")
-        .agg(F.collect_set(F.struct("start", "rank", "end")).alias("added"))
+        .agg(F.collect_set(F.struct("start", (-F.col("b.k")).alias("rank"), "end")).alias("added"))
     )
     found = slim.select("__k", "base").distinct().join(new, "__k", "left").select("__k", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
     return keyed.drop("base", "spans").join(found, "__k", "left").drop("__k")
