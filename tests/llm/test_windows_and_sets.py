@@ -50,11 +50,10 @@ def components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("seed", "group", "leaders", "large"), [(1, 20_000, 16, 32), (2, 10, 2, 2), (3, 25, 1, 3)])
-def test_components(spark, monkeypatch, seed, group, leaders, large):
+@pytest.mark.parametrize(("seed", "group", "leaders"), [(1, 250, 16), (2, 8, 2)])
+def test_components(spark, monkeypatch, seed, group, leaders):
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "LEADERS", leaders)
-    monkeypatch.setattr(ngram_join, "LARGE", large)
     docs = corpus(seed)
     sets = [shingles(t) for t in docs]
     want = components(sets)
@@ -65,13 +64,41 @@ def test_components(spark, monkeypatch, seed, group, leaders, large):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == df.columns
 
 
+@pytest.mark.parametrize(("group", "leaders"), [(20, 2)])
+def test_boilerplate(spark, monkeypatch, group, leaders):
+    """Many texts that share most of their words, some of them above and some below the threshold, of different sizes."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    rnd = random.Random(5)
+    terms = [f"b{i}" for i in range(120)]
+    docs = [" ".join(terms[: rnd.randint(60, 120)] + [f"u{i}_{k}" for k in range(rnd.randint(0, 40))]) for i in range(120)]
+    docs += [" ".join(terms[rnd.randint(0, 20) :] + [f"v{i % 9}_{k}" for k in range(30)]) for i in range(60)]
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == components([shingles(t) for t in docs])
+
+
 def test_set_cases(spark):
     text = " ".join(f"v{i}" for i in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, text), (None, "alone by itself"), (9, None), (9, None)], "doc_id long, text string")
     got = [tuple(r) for r in ngram_join.join(df).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=str) == sorted([(5, 26, 5), (5, 26, 5), (7, 26, 5), (None, 26, 5), (None, 1, None), (9, 0, 9), (9, 0, 9)], key=str)
     assert sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each(df).where("text is not null").collect()) == [(0, "alone by itself"), (5, text)]
-    assert ngram_join.join(df.where("false")).count() == 0
+    assert ngram_join.join(df.where("false")).count() == ngram_join.one_of_each(df.where("false")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, or with one that others have, link by their own texts only."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda w, k: " ".join([*w[:-1], f"{w[0]}_{k}"])
+    rows = [(3, near(a, 0)), (9, near(b, 0)), (None, near(a, 1)), (None, near(b, 1)), (None, near(c, 0)), (None, near(c, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text: r.component_id for r in ngram_join.join(df).collect()}
+    assert got == {near(a, 0): 3, near(a, 1): 3, near(b, 0): 9, near(b, 1): 9, near(c, 0): None, near(c, 1): None}
+    kept = ngram_join.one_of_each(df).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 3, 9]
+    twice = spark.createDataFrame([(3, near(a, 0)), (9, near(b, 0)), (5, near(a, 1)), (5, near(b, 1)), (None, near(a, 2))], "doc_id long, text string")
+    got = {r.text: r.component_id for r in ngram_join.join(twice).collect()}
+    assert got == {near(a, 0): 3, near(a, 1): 3, near(a, 2): 3, near(b, 0): 5, near(b, 1): 5}
 
 
 def test_chain_of_links(spark):

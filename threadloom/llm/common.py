@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,9 +17,11 @@ WORD = rf"[^{WS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a folder of our own only where none is set, as in tests."""
+    """The folder that all executors share, ``spark.checkpoint.dir``. Only a local session, as in tests, may go without; it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +47,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def carried(df: DataFrame, **named: Column) -> DataFrame:
+    """The rows of ``df`` as one struct, beside columns of an operator's own: no name of the table can meet one of these."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in named.items()])
+
+
+def unpacked(held: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """Carried rows as they were, with ``new`` columns; those take the place of columns that have their names, in whatever case."""
+    taken = {name.lower() for name in new or {}}
+    old = [F.col(f"_row.`{c}`").alias(c) for c in columns if c.lower() not in taken]
+    return held.select(*old, *[c.alias(name) for name, c in (new or {}).items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

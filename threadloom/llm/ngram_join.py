@@ -8,23 +8,30 @@ each document under links, exactly, without a pair for every link:
    only ever overestimated. A set in which fewer than three quarters of the shingles were
    seen elsewhere can link with nothing and leaves here. Equal sets become one. What is
    left is sketched and sifted again, now with several levels of counts.
-2. Relations between sets. Sets are grouped by their least shingle under a hash, those of the
+2. Relations between sets. Sets are grouped by their least shingles under two hashes, those of the
    commonest shingles first, and held against the first few of the group that link with none
-   before them. A set that links with one of these leaders takes over the leader's answer, its
-   component. Groups are split by salts, whose leaders meet in a second round, so that one
-   of any size is never read by one task.
-3. Index. The rarest shingles of each set's prefix are posted to lists cut in blocks by set
-   size; a probe reads the blocks of sizes that can link and skips the others, skips a posting
-   where what follows its position is too short for the overlap needed, and skips sets whose
-   component it has. Sets of large components are not probed against their own component at all:
-   only pairs of different large components that share a posted shingle are looked up.
-   Surviving pairs are verified by intersection.
-4. Components by least labels with pointer jumping.
+   before them. A set that links with such a leader follows it, at a known distance (one less
+   the similarity, which keeps the triangle inequality). Groups above ``GROUP`` sets are split
+   by salts, each by its own size, and their leaders meet in further rounds, so that one of any size
+   is never read by one task.
+3. Index. The rarest shingles of a set are posted to lists, cut in blocks by set size; of two
+   sets the smaller one is listed, with a seventh of its shingles, and the larger one probes, with
+   a quarter. Before anything meets, a probe leaves out the blocks of sizes that cannot link
+   and those where what follows its position is too short for the overlap that the block's
+   least size needs. Followers of one leader stand in a list as one entry, with their best
+   position and least size, and those that are in one component already are not compared.
+4. Leaders whose entries met are compared, one pair for all their followers. From that answer the
+   followers' answers are derived: leaders that link join their components; leaders further
+   apart than a link and both of their followers' distances settle that no followers link. Only
+   between leaders in the gap, followers are probed themselves, and only those that the
+   triangle inequality leaves open are compared.
+5. Components by least labels with pointer jumping.
 
 Defined cases: null or empty texts have no shingle, link with nothing and stand alone; texts
-of fewer words than a shingle have one shingle, all of their words; repeated rows link;
-``doc_id`` names a document, a null one never names a component with others in it; an empty
-table gives an empty result; extra columns stay, columns named like a result are replaced.
+of fewer words than a shingle have one shingle, all of their words; repeated rows link; rows are
+documents, whether their ids are null or repeated: different texts under one ``doc_id`` are
+told apart, and a component is named by the least ``doc_id`` in it that is not null, or by null; an
+empty table gives an empty result; extra columns stay, columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, tokens
-from .common import materialize
+from .common import carried, materialize, unpacked
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -46,9 +53,10 @@ THRESHOLD = 0.75
 LEVELS = (2, 4, 16, 64, 250)
 #: Sketch buckets for each byte of the input's files: about two for each shingle.
 BUCKETS_A_BYTE = 0.5
-#: Sets of one group that one task reads, leaders that it holds, and the size from which a component is large.
-GROUP, LEADERS, LARGE = 20_000, 16, 32
-_NO_ID = (1 << 63) - 1
+#: Sets of one group that one task reads, and leaders that it holds. Groups get larger where there are sets for more than MOST_GROUPS of them.
+GROUP, LEADERS, MOST_GROUPS = 250, 16, 1 << 16
+#: Rounds of leaders go on while they leave fewer leaders in split groups than this share of the last round's.
+SHRINKS = 0.9
 _EPS = 1e-9
 
 
@@ -143,8 +151,8 @@ def _sift(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _lead(sets: DataFrame, key: str, salts: int) -> DataFrame:
-    """Links (a, b) of sets to leaders of their groups, verified."""
+def _lead(rows: DataFrame) -> DataFrame:
+    """Links (a, b, d) of sets to leaders of their groups (m, salt), verified; d is their distance."""
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []
@@ -159,56 +167,135 @@ def _lead(sets: DataFrame, key: str, salts: int) -> DataFrame:
                         continue
                     both = len(np.intersect1d(own, lead, assume_unique=True))
                     if 4 * both >= 3 * (len(own) + len(lead) - both):
-                        links.append((id_, other))
+                        links.append((id_, other, 1 - both / (len(own) + len(lead) - both)))
                         break
                 else:
                     if len(leaders) < LEADERS:
                         leaders.append((id_, own))
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*links, strict=True), kinds, strict=True)], ["a", "b", "d"])
 
-    salted = sets.select("id", key, F.pmod(F.hash("id"), F.lit(salts)).alias("salt"), "shingles", "common")
-    placed = salted.repartition(key, "salt").sortWithinPartitions(key, "salt", F.desc("common"), "id")
-    return placed.select("id", key, "salt", "shingles").mapInArrow(led, "a bigint, b bigint")
+    placed = rows.repartition("m", "salt").sortWithinPartitions("m", "salt", F.desc("common"), "id")
+    return placed.select("id", "m", "salt", "shingles").mapInArrow(led, "a bigint, b bigint, d double")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components (``label``) that may link, from the block-skip index."""
-    prefix = (F.col("n") - F.ceil(THRESHOLD * F.col("n") - _EPS) + 1 - F.col("n0")).cast("int")
-    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(THRESHOLD)) + _EPS).cast("int")
-    posts = sets.where(prefix > 0).select(
-        "id", "n", "label", "large", block.alias("block"), "n0", F.posexplode(F.slice("shingles", F.col("n0") + 1, prefix)).alias("at", "token")
+def _following(sets: DataFrame, total: int) -> DataFrame:
+    """All (a, b, d) of sets and leaders that they follow, after as many rounds as split groups need."""
+    group = max(GROUP, -(-total // MOST_GROUPS))
+    keys = F.explode(F.array("m0", "m1")).alias("m")
+    places, edges, last, step = sets.select("id", keys), None, None, 0
+    while True:
+        sizes = places.groupBy("m").agg(F.count("*").alias("size")).where(F.col("size") > group)
+        hot = materialize(sizes, "ngram-groups")  # MOST_GROUPS at the most
+        split = F.coalesce(F.pmod(F.xxhash64("id", F.lit(step)), F.ceil(F.col("size") / group)), F.lit(0)).alias("salt")
+        if edges is None:
+            rows = sets.select("id", keys, "common", "shingles").join(F.broadcast(hot), "m", "left")
+        else:
+            rows = sets.join(places, "id").join(F.broadcast(hot), "m", "left")
+        found = materialize(_lead(rows.select("id", "m", split, "shingles", "common")), "ngram-led")
+        edges, step = found if edges is None else edges.unionByName(found), step + 1
+        if hot.isEmpty():
+            return edges
+        heads = places.join(F.broadcast(hot.select("m")), "m").join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        places = materialize(heads.select("id", "m"), "ngram-heads")
+        left = places.count()
+        if not left or last is not None and left > SHRINKS * last:
+            return edges
+        last = left
+
+
+def _posts(sets: DataFrame, led: DataFrame, labels: DataFrame) -> DataFrame:
+    """The shingles that sets probe with: (id, n, block, head, d, label, token, rest), ``rest`` being the shingles from the position on.
+
+    ``head`` is the nearest leader of a set, at distance ``d``, or the set itself. Shingles that no other set has are not posted.
+    """
+    front = F.greatest(F.lit(0), F.col("n") - F.ceil(THRESHOLD * F.col("n") - _EPS) + 1 - F.col("n0")).cast("int")
+    slim = sets.select("id", "n", "n0", F.slice("shingles", F.col("n0") + 1, front).alias("front")).where(F.size("front") > 0)
+    near = led.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("near"))
+    named = slim.join(near, "id", "left").join(labels, "id", "left").select(
+        "id", "n", "n0", "front", F.coalesce("near.b", "id").alias("head"), F.coalesce("near.d", F.lit(0.0)).alias("d"), F.coalesce("label", "id").alias("label")
+    )
+    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(THRESHOLD)) + _EPS).cast("int").alias("block")
+    posts = materialize(named, "ngram-fronts").select("id", "n", "n0", block, "head", "d", "label", F.posexplode("front").alias("at", "token"))
+    return posts.withColumn("rest", F.col("n") - F.col("n0") - F.col("at"))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Shingles that sets of these sizes must share to link, not rounded up."""
+    return THRESHOLD / (1 + THRESHOLD) * (a + b) - _EPS
+
+
+def _sides(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of the lists, and the probes with the ``block`` that each goes to; of two sets the larger one probes."""
+    listed = posts.where(F.col("rest") >= _overlap(F.col("n"), F.col("n")))
+    least = F.greatest(F.pow(F.lit(1 / THRESHOLD), F.col("block")) * (1 - 1e-6), THRESHOLD * F.col("n"))
+    sent = posts.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"))))
+    return listed, sent.where(F.col("rest") >= _overlap(F.col("n"), least))
+
+
+def _met(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of leaders of different components, some of whose sets may link."""
+    listed, sent = _sides(posts)
+
+    def entries(rows: DataFrame, x: str) -> DataFrame:
+        least = [F.max("rest").alias(f"{x}_rest"), F.min("n").alias(f"{x}_n"), F.max("n").alias(f"{x}_most")]
+        return rows.groupBy("token", "block", F.col("head").alias(x), F.col("label").alias(f"{x}_label")).agg(*least)
+
+    fits = (
+        (F.col("a_label") != F.col("b_label"))
+        & (F.col("b_most") >= THRESHOLD * F.col("a_n") - _EPS)
+        & (F.col("b_n") <= F.col("a_most"))
+        & (F.least("a_rest", "b_rest") >= _overlap(F.col("a_n"), F.col("b_n")))
     )
-    posts = posts.select("id", "n", "label", "large", "block", "token", (F.col("at") + F.col("n0")).alias("pos"))
-    named = lambda x, *keys: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "label", "large", "pos") if c not in keys]
-    need = THRESHOLD / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) - _EPS
+    both = entries(sent, "a").join(entries(listed, "b"), ["token", "block"]).where(fits)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between(posts: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that may link, between the leaders (h, g, far) of ``open_``, ``far`` being how far apart these are."""
+    listed, sent = _sides(posts)
+    named = lambda rows, x: rows.select("token", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "rest", "head", "d")])
+    ways = open_.select(F.col("h").alias("a_head"), F.col("g").alias("b_head"), "far")
+    ways = ways.unionByName(open_.select(F.col("g").alias("a_head"), F.col("h").alias("b_head"), "far"))
     fits = (
-        (F.least("a_n", "b_n") >= THRESHOLD * F.greatest("a_n", "b_n") - _EPS)
-        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
-        & (F.col("a_label") != F.col("b_label"))
+        ((F.col("a_n") > F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_id") > F.col("b_id")))
+        & (F.col("b_n") >= THRESHOLD * F.col("a_n") - _EPS)
+        & (F.least("a_rest", "b_rest") >= _overlap(F.col("a_n"), F.col("b_n")))
+        & (F.col("a_d") + F.col("b_d") >= F.col("far") - (1 - THRESHOLD) - _EPS)
     )
-    lists = posts.select("token", "block", *named("b"))
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
-    probes = posts.where(~F.col("large")).select("token", near.alias("block"), *named("a"))
-    once = F.col("b_large") | (F.col("a_id") > F.col("b_id"))
-    small = probes.join(lists, ["token", "block"]).where(once & fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    big = posts.where("large")
-    labels = big.select("token", "label").distinct()
-    met = labels.select("token", F.col("label").alias("a_label")).join(labels.select("token", F.col("label").alias("b_label")), "token").where("a_label < b_label")
-    side = lambda x: big.select("token", *named(x))
-    large = met.join(side("a"), ["token", "a_label"]).join(side("b"), ["token", "b_label"]).where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return small.unionByName(large).distinct()
+    both = named(sent, "a").join(ways, "a_head").join(named(listed, "b"), ["token", "block", "b_head"]).where(fits)
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with the sizes of both sets and of their intersection."""
+    """``pairs`` with ``link`` and the distance ``d``, from the intersection of both sets."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_s"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.withColumn("both", F.size(F.array_intersect("a_s", "b_s"))).drop("a_s", "b_s")
-
-
-def _links() -> Column:
-    return 4 * F.col("both") >= 3 * (F.col("a_n") + F.col("b_n") - F.col("both"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("a_s", "b_s")))
+    any_ = F.col("a_n") + F.col("b_n") - F.col("both")
+    return both.select("a", "b", (4 * F.col("both") >= 3 * any_).alias("link"), (1 - F.col("both") / any_).alias("d"))
+
+
+def _links(sets: DataFrame, led: DataFrame) -> DataFrame:
+    """(id, label) of the components of all links."""
+    labels = components(led)
+    posts = _posts(sets, led, labels)
+    heads = materialize(_verified(_met(posts), sets), "ngram-leaders")
+    edges = led.select("a", "b")
+    linked = heads.where("link").select("a", "b")
+    if not linked.isEmpty():
+        edges = edges.unionByName(linked)
+        labels = components(edges)
+    reach = led.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("near")).groupBy(F.col("near.b").alias("id")).agg(F.max("near.d").alias("reach"))
+    about = lambda x: labels.join(reach, "id", "full").select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"), F.col("reach").alias(f"{x}_reach"))
+    apart = heads.where("not link").join(about("a"), "a", "left").join(about("b"), "b", "left")
+    reached = F.coalesce("a_reach", F.lit(0.0)) + F.coalesce("b_reach", F.lit(0.0))
+    gap = apart.where((F.coalesce("a_label", "a") != F.coalesce("b_label", "b")) & (reached > 0) & (F.col("d") <= 1 - THRESHOLD + reached + _EPS))
+    open_ = materialize(gap.select(F.col("a").alias("h"), F.col("b").alias("g"), F.col("d").alias("far")), "ngram-open")
+    if open_.isEmpty():
+        return labels
+    more = materialize(_verified(_between(posts, open_), sets).where("link").select("a", "b"), "ngram-links")
+    return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,46 +322,38 @@ def _print(text: str) -> Column:
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_shingles`` and ``component_id``, the smallest ``doc_id`` that links reach."""
-    once = classes(df, doc_id, text).select(F.col("doc").alias("__d"), F.col("k").alias("__k"), "n_shingles", "component_id").distinct()
-    keyed = df.drop("n_shingles", "component_id").withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__k": _print(text)})
-    return keyed.join(once, ["__d", "__k"], "left").drop("__d", "__k")
+    once = classes(df, doc_id, text).select(F.col("doc").alias("d"), F.col("k").alias("c"), "n_shingles", "component_id").distinct()
+    held = carried(df, doc=F.col(f"`{doc_id}`").cast("long"), k=_print(f"`{text}`"))
+    found = held.join(once, F.col("doc").eqNullSafe(F.col("d")) & (F.col("k") == F.col("c")), "left")
+    return unpacked(found, df.columns, {"n_shingles": F.col("n_shingles"), "component_id": F.col("component_id")})
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of ``df`` that names each component; of equal rows one. Rows without an id stay unless they link with one that has an id."""
-    first = classes(df, doc_id, text).where(F.coalesce("component_id", F.lit(_NO_ID)) == F.col("doc"))
-    keyed = df.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__k": _print(text)})
-    kept = keyed.join(first.select(F.col("doc").alias("__d"), F.col("k").alias("__k")), ["__d", "__k"], "left_semi")
-    return kept.dropDuplicates(["__d", "__k"]).drop("__d", "__k")
+    """One row of ``df`` for each component: of its least ``doc_id``, nulls last. Of rows equal in id and text one stays."""
+    found = materialize(classes(df, doc_id, text).select("doc", "k", "class"), "ngram-classes")
+    first = found.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "k")).alias("x"))
+    stay = first.select("x.doc", "x.k").unionByName(found.where("class is null").select("doc", "k")).select(F.col("doc").alias("d"), F.col("k").alias("c"))
+    held = carried(df, doc=F.col(f"`{doc_id}`").cast("long"), k=_print(f"`{text}`"))
+    kept = held.join(stay, F.col("doc").eqNullSafe(F.col("d")) & (F.col("k") == F.col("c")), "left_semi")
+    return unpacked(kept.dropDuplicates(["doc", "k"]), df.columns)
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``df``: ``doc``, ``k`` (a fingerprint of the text), ``n_shingles``, ``component_id``."""
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(estimate(df, text))
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
-    base = materialize(_sets(df.select(ids.alias("doc"), _print(text).alias("k"), F.col(text).alias("t")), sent), "ngram-sets")
+    """One row for each row of ``df``: ``doc``, ``k`` (a fingerprint of the text), ``n_shingles``, ``component_id``, ``class``.
+
+    ``class`` tells components apart; it is null for texts that can link with nothing.
+    """
+    slim = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), _print(f"`{text}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    sent = df.sparkSession.sparkContext.broadcast(estimate(slim, "t"))
+    base = materialize(_sets(slim, sent), "ngram-sets")
     sent.destroy()  # the sets are written, nothing asks the sketch again
-    several = base.where("shingles is not null").groupBy("s1", "s2")
-    reps = materialize(several.agg(F.min("doc").alias("id"), F.first("shingles").alias("shingles")), "ngram-reps")
+    several = base.where("shingles is not null").groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.first("shingles").alias("shingles"))
+    reps = materialize(several.withColumn("id", F.monotonically_increasing_id()), "ngram-reps")
     sets = _sift(_sift(reps))
-
-    total = sets.count()
-    salts = max(1, -(-total // GROUP))
-    first = _lead(sets, "m0", salts).unionByName(_lead(sets, "m1", salts))
-    edges = materialize(first, "ngram-led")
-    labels = components(edges)
-    if salts > 1:
-        heads = sets.join(labels.where("id <> label").select("id"), "id", "left_anti")
-        edges = materialize(edges.unionByName(_lead(heads, "m0", 1)), "ngram-led")
-        labels = components(edges)
-    sizes = labels.groupBy("label").agg((F.count("*") >= LARGE).alias("large"))
-    named = sets.join(labels.join(sizes, "label"), "id", "left").withColumns({"label": F.coalesce("label", "id"), "large": F.coalesce("large", F.lit(False))})
-    pairs = _verified(_candidates(materialize(named, "ngram-labelled")), sets)
-    links = pairs.where(_links()).select("a", "b")
-    labels = components(edges.unionByName(links))
-    dim = reps.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component"))
-    alone = base.where("shingles is null").select("doc", "k", "n", F.col("doc").alias("component"))
-    met = base.where("shingles is not null").select("doc", "k", "n", "s1", "s2").join(dim, ["s1", "s2"]).select("doc", "k", "n", "component")
-    name = F.when(F.col("component") != _NO_ID, F.col("component"))
-    return met.unionByName(alone).select("doc", "k", F.col("n").alias("n_shingles"), name.alias("component_id"))
+    labels = _links(sets, _following(sets, sets.count()))
+    named = reps.select("s1", "s2", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    dim = named.select("s1", "s2", "label").join(least, "label").select("s1", "s2", F.col("label").alias("class"), "component_id")
+    met = base.where("shingles is not null").select("doc", "k", "n", "s1", "s2").join(dim, ["s1", "s2"])
+    alone = base.where("shingles is null").select("doc", "k", "n", F.col("doc").alias("component_id"), F.lit(None).cast("bigint").alias("class"))
+    return met.select(*alone.columns).unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -64,7 +64,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     found = ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.when(F.col("doc") != ngram_join._NO_ID, F.col("doc")).alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
