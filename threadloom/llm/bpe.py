@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import carried, unpacked
 from .tokens import trim
 
 #: Bytes that are printable and stand for themselves in a byte-level vocabulary; the others follow from U+0100 on.
@@ -214,5 +215,5 @@ def transcoder(path: str):
 
 def transcode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` of the whole text and ``decoded``, read back from them."""
-    held = df.withColumn("__bpe", transcoder(path)(F.col(text)))
-    return held.withColumns({"ids": F.col("__bpe.ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
+    held = carried(df, bpe=transcoder(path)(F.col(f"`{text}`")))
+    return unpacked(held, df.columns, {"ids": F.col("bpe.ids"), "decoded": F.col("bpe.decoded")})

@@ -59,6 +59,12 @@ def unpacked(held: DataFrame, columns: list[str], new: dict[str, Column] | None
     return held.select(*old, *[c.alias(name) for name, c in (new or {}).items()])
 
 
+def fingerprint(df: DataFrame, *more: Column) -> Column:
+    """A 64-bit fingerprint of a row: of all its columns that Spark can hash (maps and variants are left out) and of ``more``."""
+    odd = ("map<", "variant")
+    return F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in df.dtypes if not any(x in kind for x in odd)], *more)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

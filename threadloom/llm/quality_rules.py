@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, words_of
+from .common import WS, carried, let, unpacked, words_of
 
 #: Bit number, name, and the condition under which a document fails, over the measurements.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -71,14 +71,15 @@ def _repeat_words(words: Column) -> Column:
     return let(words, covered)
 
 
-def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the measurements and ``fail_bits``, one bit for each rule that the text fails."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _measured(df: DataFrame, text: str) -> DataFrame:
+    """The rows of ``df``, carried, with the measurements and ``fail_bits``."""
+    held = carried(df, whole=F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    whole = F.col("whole")
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{WS}]"))
-    measured = df.withColumns(
+    measured = held.withColumns(
         {
-            "__m": let(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))),
-            "__l": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
+            "words": let(words_of(whole), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))),
+            "lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
             "word_chars": F.length(F.regexp_replace(whole, f"[{WS}]+", "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]+", ""))).cast("long"),
             "n_letters": (F.length(whole) - F.length(F.regexp_replace(whole, r"\p{L}+", ""))).cast("long"),
@@ -87,16 +88,21 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     )
     flat = measured.withColumns(
         {
-            "n_words": F.col("__m.n_words").cast("long"),
-            "n_repeat_words": F.col("__m.n_repeat_words").cast("long"),
-            "n_lines": F.col("__l.n").cast("long"),
-            "n_dup_lines": (F.col("__l.n") - F.col("__l.d")).cast("long"),
+            "n_words": F.col("words.n_words").cast("long"),
+            "n_repeat_words": F.col("words.n_repeat_words").cast("long"),
+            "n_lines": F.col("lines.n").cast("long"),
+            "n_dup_lines": (F.col("lines.n") - F.col("lines.d")).cast("long"),
         }
-    ).drop("__m", "__l")
+    )
     bits = sum((F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, _, rule in RULES), F.lit(0))
     return flat.withColumn("fail_bits", bits.cast("long"))
 
 
+def ledger(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the measurements and ``fail_bits``, one bit for each rule that the text fails."""
+    return unpacked(_measured(df, text), df.columns, {c: F.col(c) for c in (*MEASURES, "fail_bits")})
+
+
 def passes(policy: str = "v1", bits: str = "fail_bits") -> Column:
     """True where a ledger row fails no rule of the policy."""
     return F.col(bits).bitwiseAND(F.lit(mask_of(policy))) == 0
@@ -125,6 +131,4 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep(df: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass the policy, with the columns that ``df`` has."""
-    columns = df.columns
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_text"))
-    return ledger(held, "_text").where(passes(policy)).select("_row.*")
+    return unpacked(_measured(df, text).where(passes(policy)), df.columns)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch, tokens
+from .common import carried, unpacked
 
 WINDOW, ANCHOR = 35, 16
 ROWS = 2
@@ -179,18 +180,18 @@ def _cut() -> F.udf:
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text``: the words no repeated window covers, joined by one space."""
     passes = passes_for(df)
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    key = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
-    slim = df.select(F.col(text).alias("t"), doc.alias("doc"), key.alias("k"))
+    doc = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63)))
+    key = (F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
+    slim = df.select(F.col(f"`{text}`").alias("t"), doc.alias("doc"), key.alias("k"))
     send = df.sparkSession.sparkContext.broadcast
     # equal windows have equal anchors and so meet in one pass; their rows are grouped together afterwards
-    rows = reduce(DataFrame.unionAll, [_candidates(slim, send(estimate(df, text, i, passes)), i, passes) for i in range(passes)])
+    rows = reduce(DataFrame.unionAll, [_candidates(slim, send(estimate(slim, "t", i, passes)), i, passes) for i in range(passes)])
     n = F.col("place").bitwiseAND(F.lit(3))
     total = F.sum(n).over(Window.partitionBy("h1", "h2"))
     repeated = rows.withColumn("total", total).where((n == 0) | ((n == 1) & (F.col("total") >= 2)))
     pos = F.shiftright("place", 2).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
     span = F.struct(pos.alias("pos"), F.when(n == 0, F.col("h2")).otherwise(F.lit(1)).cast("int").alias("len"))
-    spans = repeated.groupBy(F.col("doc").alias("__d"), F.shiftright("place", 32).cast("int").alias("__k")).agg(F.collect_list(span).alias("__spans"))
-    joined = df.withColumns({"__d": doc, "__k": key}).join(spans, ["__d", "__k"], "left")
-    cut = joined.withColumn("__o", _cut()(F.col(text), F.col("__spans"))).drop("__d", "__k", "__spans")
-    return cut.withColumns({c: F.col(f"__o.{c}") for c in ("n_words", "n_removed", "kept_text")}).drop("__o")
+    spans = repeated.groupBy("doc", F.shiftright("place", 32).cast("int").alias("k")).agg(F.collect_list(span).alias("spans"))
+    joined = carried(df, doc=doc, k=key).join(spans, ["doc", "k"], "left")
+    cut = joined.select("_row", _cut()(F.col(f"_row.`{text}`"), F.col("spans")).alias("cut"))
+    return unpacked(cut, df.columns, {c: F.col(f"cut.{c}") for c in ("n_words", "n_removed", "kept_text")})
