@@ -1,6 +1,7 @@
 """Near duplicates, repeated windows and decontamination against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -64,7 +65,7 @@ def test_components(spark, monkeypatch, seed, group, leaders):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == df.columns
 
 
-@pytest.mark.parametrize(("group", "leaders"), [(20, 2)])
+@pytest.mark.parametrize(("group", "leaders"), [(70, 2)])
 def test_boilerplate(spark, monkeypatch, group, leaders):
     """Many texts that share most of their words, some of them above and some below the threshold, of different sizes."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
@@ -191,17 +192,27 @@ def test_reordered_passages(spark):
     assert leaks(spark, [], [(1, ITEM)]) == leaks(spark, docs, []) == {}
 
 
-def test_blocks_and_clean(spark, monkeypatch):
+def test_items_and_clean(spark, monkeypatch):
     items = [(i, f"{ITEM} item{i} extra{i}") for i in range(9)]
-    docs = [items[4][1], "nothing here", None, items[4][1]]
+    docs = [items[4][1], "nothing here", None, items[4][1], f"nothing {items[2][1]} here"]
     whole = leaks(spark, docs, items)
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 40)
-    blocks = list(decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"), most=40))
-    assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == 9
-    assert leaks(spark, docs, items) == whole and (0, 4) in whole
-    d = spark.createDataFrame([(i, t, i) for i, t in enumerate(docs)], "doc_id long, text string, _x int")
-    kept = decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == d.columns
+    assert {(0, i) for i in range(9)} <= whole.keys() and {d for d, _ in whole} == {0, 3, 4}
+    monkeypatch.setattr(decontaminate.sketch, "MIN_BITS", 1)
+    monkeypatch.setattr(decontaminate.sketch, "MAX_BYTES", 1)  # a sketch so full that every run goes to the join
+    assert leaks(spark, docs, items) == whole
+    d = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(docs)], "doc_id long, text string, k1 int, leaks int")
+    bench = spark.createDataFrame([*items, (4, "two words"), (None, "nothing here")], "item_id long, text string")
+    kept = decontaminate.clean(d, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2] and kept.columns == d.columns
+    found = decontaminate.match(d, bench)
+    assert found.columns == ["doc_id", "text", "k1", "leaks"] and {r.doc_id: len(r.leaks) for r in found.collect()} == {0: 9, 1: 1, 2: 0, 3: 9, 4: 9}
+
+
+def test_tiling_of_repeats_is_quick():
+    began = time.perf_counter()
+    assert decontaminate.tile([1] * 20_000, [1] * 1000) == [(0, 0, 1000)]
+    assert sum(t[2] for t in decontaminate.tile([1, 2, 3, 4, 5, 6, -1] * 3000, [1, 2, 3, 4, 5, 6, 7] * 150)) == 900
+    assert time.perf_counter() - began < 3
 
 
 def brute_tiles(doc, item, least):
