@@ -9,7 +9,9 @@ language with the shortest code wins.
 
 Training takes a bounded sample: for each language the ``TRAIN_DOCS`` labelled documents
 with the smallest hash, as far as they fit in ``TRAIN_CHARS`` characters. The model is
-therefore bounded by the number of languages. Prediction reads whole texts.
+therefore bounded by the number of languages. Labels are counted first, and only documents
+whose hash is below ``SPARE`` times the share that is wanted are put in order, so that a language of
+any size brings no more to one task than a small one. Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is every
 text if nothing could be learned; null labels teach nothing; ties go to the first
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import carried, unpacked
 
 ORDER = 3
 TRAIN_DOCS, TRAIN_CHARS = 400, 1_500_000
+#: Documents put in order for each one wanted; four times 400 leave less than 400 in no realistic case.
+SPARE = 4
+_HASHES = 1 << 40
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -97,14 +103,16 @@ def count(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, Tree]:
     """The model of the labelled rows of ``df``; reads its ids, labels and lengths, then the sampled texts only."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    slim = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc"), F.xxhash64(doc_id).alias("h"), F.length(text).alias("size"))
+    labelled = df.select(*[F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc"), (text, "text"), (lang, "lang"))]).where("lang is not null and text is not null")
+    slim = labelled.select("lang", "doc", F.pmod(F.xxhash64("doc"), F.lit(_HASHES)).alias("h"), F.length("text").alias("size"))
+    known = slim.groupBy("lang").agg((SPARE * TRAIN_DOCS / F.count("*")).alias("share"), F.min("h").alias("least"))
+    below = slim.join(F.broadcast(known), "lang").where((F.col("h") < F.col("share") * _HASHES) | (F.col("h") == F.col("least")))  # a row a language
     order = Window.partitionBy("lang").orderBy("h", "doc", "size")
-    first = slim.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= TRAIN_DOCS)
+    first = below.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= TRAIN_DOCS)
     fits = first.withColumn("chars", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("chars") <= TRAIN_CHARS) | (F.col("rn") == 1))
     picked = fits.select("doc", "lang").distinct()
-    sample = labelled.join(F.broadcast(picked), (labelled[doc_id] == picked["doc"]) & (labelled[lang] == picked["lang"]), "left_semi")
-    counts = count(sample, text, lang).toPandas()
+    sample = labelled.join(F.broadcast(picked), ["doc", "lang"], "left_semi")
+    counts = count(sample).toPandas()
     return {name: Tree(part["key"].to_numpy(np.uint32), part["n"].to_numpy(float)) for name, part in counts.groupby("lang", sort=True)}
 
 
@@ -135,5 +143,5 @@ def predict(df: DataFrame, model: dict[str, Tree], text: str = "text") -> DataFr
                     scores.append(float(1 / np.exp2(np.maximum(sums[best, j] - sums[:, j], -1000)).sum()))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    held = df.withColumn("__p", predicted(F.col(text)))
-    return held.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    held = carried(df, p=predicted(F.col(f"`{text}`")))
+    return unpacked(held, df.columns, {"lang_pred": F.col("p.lang_pred"), "score": F.col("p.score")})
