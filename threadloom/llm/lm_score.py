@@ -15,9 +15,10 @@ The counts are a table partitioned by hash. Exploded n-grams are not moved one b
 documents are dealt into blocks by a hash of the document, a block sends each n-gram that
 it holds once, with its count, to the n-gram's partition (sorted fingerprints as
 transposed differences); the partition adds up all blocks and answers each block in its own
-order; the block joins the answers to its n-grams and sums per document. Blocks and
-partitions are as many as the input's size asks for, so either side's memory is bounded,
-and an n-gram that every document holds travels once for each block.
+order; the block joins the answers to its n-grams and sums per document. A first pass measures
+the texts; blocks and partitions are as many as their bytes ask for, so either side's memory is bounded,
+and an n-gram that every document holds travels once for each block. Rows are dealt by all of their columns
+and the partition they are read from, so that repeated rows spread.
 
 Defined cases: words are lower-case (A to Z) runs between ASCII white space; null or empty
 texts have no words, a score of 0 and a null mean; repeated rows are documents of their
@@ -37,21 +38,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .common import carried, fingerprint, unpacked
 
 ORDER = 3
 ALPHA = 0.4
-#: Bytes of input files for each block of documents, and for each partition of the counts.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
-MAX_PARTS = 1 << 16
+#: Bytes of text for each block of documents, and for each partition of the counts.
+BLOCK_BYTES, PART_BYTES = 14 << 20, 14 << 20
 #: Low bits of a fingerprint that are dropped; 56 are kept, which n-grams share by chance about once in seven million where ten billion differ.
 DROPPED = np.uint64(8)
 _RUN = 1 << 20
 
 
-def _size(df: DataFrame) -> int:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return size if size < 1 << 60 else df.count() << 12
+def measure(df: DataFrame, text: str = "text") -> tuple[int, int]:
+    """(bytes, words) of all texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = words = 0
+        for batch in batches:
+            for _, run in tokens.raw(batch.column(0)):
+                size += sum(map(len, run))
+                words += sum(len(t.split()) for t in run)
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([words])], ["size", "words"])
+
+    found = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(counted, "size bigint, words bigint").agg(F.sum("size"), F.sum("words")).first()
+    return found[0] or 0, found[1] or 0
 
 
 class Block:
@@ -130,18 +140,17 @@ def _thick(raw: bytes) -> np.ndarray:
 
 
 _SENT = "part int, block int, n int, grams binary, counts binary"
-_ANSWER = "block int, part int, n int, counts binary, words bigint"
+_ANSWER = "block int, part int, n int, counts binary"
 
 
 def score(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``log_score`` and ``mean_log_score`` of each text."""
-    size = _size(df)
+    size, all_words = measure(df, text)
     blocks = max(1, -(-size // BLOCK_BYTES))
-    bits = min(MAX_PARTS, max(1, -(-size // PART_BYTES))).bit_length()
-    columns = [c for c in df.columns if c not in ("n_words", "log_score", "mean_log_score")]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    dealt = df.select(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(blocks)).cast("int").alias("block"), row.alias("row"))
-    texts = lambda table: table.column("row").combine_chunks().field(text)
+    bits = max(1, -(-size // PART_BYTES)).bit_length()
+    place = F.pmod(fingerprint(df, F.spark_partition_id()), F.lit(blocks)).cast("int")
+    dealt = carried(df, block=place).select("block", "_row")
+    texts = lambda table: table.column("_row").combine_chunks().field(text)
 
     def send(table: pa.Table) -> pa.Table:
         block = Block(texts(table))
@@ -149,24 +158,21 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
         out: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
         for n in range(ORDER):
             kinds, own = block.kinds[n], block.own[n]
-            cuts = np.searchsorted(kinds, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(kinds)]
-            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a or n == 0:  # single words name every partition, so that each block hears of all words
-                    for key, v in zip(out, (part, number, n, pack(kinds[a:b]), _thin(own[a:b])), strict=True):
-                        out[key].append(v)
+            part = (kinds >> np.uint64(64 - bits)).astype(np.int32)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(kinds)] if len(kinds) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for key, v in zip(out, (int(part[a]), number, n, pack(kinds[a:b]), _thin(own[a:b])), strict=True):
+                    out[key].append(v)
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(out))
 
     def add(table: pa.Table) -> pa.Table:
         grams = [unpack(x.as_py()) for x in table.column("grams")]
         counts = [_thick(x.as_py()) for x in table.column("counts")]
-        order = table.column("n").to_numpy()
         back, kinds = pd.factorize(np.concatenate(grams))
         total = np.bincount(back, np.concatenate(counts), len(kinds)).astype(np.int64)
         ends = np.cumsum([len(g) for g in grams])
         answers = [_thin(total[back[e - len(g) : e]]) for g, e in zip(grams, ends, strict=True)]
-        words = int(sum(c.sum() for c, n in zip(counts, order, strict=True) if n == 0))
-        said = pa.array([words] * len(answers), pa.int64())
-        return pa.table([table.column("block"), table.column("part"), table.column("n"), pa.array(answers, pa.binary()), said], ["block", "part", "n", "counts", "words"])
+        return pa.table([table.column("block"), table.column("part"), table.column("n"), pa.array(answers, pa.binary())], ["block", "part", "n", "counts"])
 
     sent = dealt.groupBy("block").applyInArrow(send, _SENT)
     answers = sent.groupBy("part").applyInArrow(add, _ANSWER)
@@ -181,15 +187,13 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
             mine = mine[np.argsort(part[mine])]
             found = [_thick(right.column("counts")[int(i)].as_py()) for i in mine]
             totals.append(np.concatenate(found) if found else np.zeros(0, np.int64))
-        all_words = int(right.column("words").to_numpy()[order == 0].sum())  # each partition answers once for single words
         n_words, sums = block.score(totals, all_words)
-        out = pa.table([left.column("row"), pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(sums)], fields=list(scored))], ["row", "s"])
+        out = pa.table([left.column("_row"), pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(sums)], fields=list(scored))], ["_row", "s"])
         del block, totals
         tokens.trim()
         return out
 
-    schema = dealt.select("row").schema
-    kind = schema.add("s", T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())]))
+    kind = dealt.select("_row").schema.add("s", T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())]))
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, kind)
     mean = F.when(F.col("s.n_words") > 0, F.col("s.log_score") / F.col("s.n_words"))
-    return out.select("row.*", F.col("s.n_words").alias("n_words"), F.col("s.log_score").alias("log_score"), mean.alias("mean_log_score"))
+    return unpacked(out, df.columns, {"n_words": F.col("s.n_words"), "log_score": F.col("s.log_score"), "mean_log_score": mean})
