@@ -6,7 +6,9 @@ before it, one at the start of its line, those on both sides of a number before
 one after it. Patterns and instances form a bipartite graph whose edges are counted once. Scoring alternates until nothing changes:
 a pattern's confidence for a kind is the share of its distinct instances believed to
 be of that kind, an instance's belief is the noisy-or of its confident patterns.
-Confident patterns finally mark the candidates that no base pattern found.
+Confident patterns finally mark the candidates that no base pattern found. Identifiers of fewer
+than ``MIN_CORE`` characters (years, counts, prices for the most part) are no candidates: contexts neither
+learn from them nor find them; base patterns do.
 
 Offsets are code points, ends exclusive. Matches are leftmost and non-overlapping for
 each kind; different kinds may overlap. A match that fails its check is dropped and
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, materialize
+from .common import WS, carried, fingerprint, let, materialize, unpacked
 
 #: Kinds in the order that breaks ties, ``secret`` being one that only contexts and key-like seeds give.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -44,7 +46,7 @@ MAYBE = {
 CANDIDATE = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
 #: The identifier inside a token: its first run of identifier characters with a digit or @.
 CORE = r"[\p{L}._%+/=:-]*+[0-9@][\p{L}\p{N}@._%+/=:-]*+"
-CONTEXT_CHARS, MIN_CORE = 64, 6
+MIN_CORE = 6
 #: A pattern is believed when this many different instances of a kind have it, and this share of all of its
 #: instances, PRIOR imagined failures included.
 MIN_SUPPORT, MIN_CONFIDENCE, PRIOR = 5, 0.8, 2
@@ -130,15 +132,14 @@ def base_spans(text: Column) -> Column:
 
 def _contexts(x: Column) -> Column:
     """The patterns of a candidate, told apart by line ends and tabs, which no word holds."""
-    word, blank = rf"[^{WS}]+", r"[\x20\x09]+"
+    word, blank, begin = rf"[^{WS}]++", r"[\x20\x09]++", rf"(?<![^{WS}])"
     tail = F.concat(F.when(x["before"].isNull(), F.lit("\n")).otherwise(F.lit("")), x["gap"])
-    end = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
-    left = F.regexp_extract(end(x["gap"]), rf"({word}){blank}$", 1)
-    two = F.regexp_extract(end(x["gap"]), rf"({word}{blank}{word}){blank}$", 1)
-    first = F.regexp_extract(end(tail), rf"[\n\r\x0b\x0c][\x20\x09]*({word}){blank}$", 1)
-    far = F.regexp_extract(end(x["before"]), rf"({word}){blank}$", 1)
+    left = F.regexp_extract(x["gap"], rf"{begin}({word}){blank}$", 1)
+    two = F.regexp_extract(x["gap"], rf"{begin}({word}{blank}{word}){blank}$", 1)
+    first = F.regexp_extract(tail, rf"[\n\r\x0b\x0c][\x20\x09]*+({word}){blank}$", 1)
+    far = F.regexp_extract(x["before"], rf"{begin}({word}){blank}$", 1)
     near = F.regexp_extract(x["gap"], rf"^(?:{blank}({word}))?{blank}$", 1)
-    right = F.regexp_extract(F.left(x["after"], F.lit(CONTEXT_CHARS)), rf"^{blank}({word})", 1)
+    right = F.regexp_extract(x["after"], rf"^{blank}({word})", 1)
     beyond = F.when(x["gap"].rlike(rf"^{blank}(?:{word}{blank})?$") & (far != ""), F.concat(far, F.lit("\n#\n"), near))
     named = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c))
     return F.transform(F.array_compact(F.array(named("", two), named("", left), named("\n", first), beyond, named("\t", right))), F.lower)
@@ -220,23 +221,23 @@ def find(df: DataFrame, text: str = "text", rounds: int | None = None) -> DataFr
     The texts are scanned once; offsets and candidates are written to the shared folder and
     joined there. Rows meet their additions again by a fingerprint of all their columns.
     """
-    columns = df.columns
-    keyed = df.withColumn("__k", F.struct(F.xxhash64(*columns).alias("a"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("b"), F.coalesce(F.length(text), F.lit(-1)).alias("c")))
-    slim = materialize(scan(keyed.select("__k", text), text).select("__k", "base", "cands"), "pii-scan")
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = carried(df, k=F.struct(fingerprint(df).alias("a"), F.crc32(whole.cast("binary")).alias("b"), F.length(whole).alias("c")), t=whole)
+    slim = materialize(scan(keyed.select("k", "t"), "t").select("k", "base", "cands"), "pii-scan")
     patterns = bootstrap(slim, rounds)
-    loose = slim.select("__k", F.explode("cands").alias("c"), "base").where(
+    loose = slim.select("k", F.explode("cands").alias("c"), "base").where(
         ~F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
     )
     new = (
-        loose.select("__k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.explode("c.ctx").alias("ctx"))
+        loose.select("k", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.explode("c.ctx").alias("ctx"))
         .join(patterns, "ctx")
-        .groupBy("__k", "start", "end")
-        .agg(F.max(F.struct("conf", (-F.col("rank")).alias("k"))).alias("b"))
-        .groupBy("__k")
-        .agg(F.collect_set(F.struct("start", (-F.col("b.k")).alias("rank"), "end")).alias("added"))
+        .groupBy("k", "start", "end")
+        .agg(F.max(F.struct("conf", (-F.col("rank")).alias("r"))).alias("b"))
+        .groupBy("k")
+        .agg(F.collect_set(F.struct("start", (-F.col("b.r")).alias("rank"), "end")).alias("added"))
     )
-    found = slim.select("__k", "base").distinct().join(new, "__k", "left").select("__k", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
-    return keyed.drop("base", "spans").join(found, "__k", "left").drop("__k")
+    found = slim.select("k", "base").distinct().join(new, "k", "left").select("k", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
+    return unpacked(keyed.join(found, "k", "left"), df.columns, {"base": F.col("base"), "spans": F.col("spans")})
 
 
 def spell(spans: Column) -> Column:
