@@ -51,8 +51,9 @@ def components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("seed", "group", "leaders"), [(1, 250, 16), (2, 8, 2)])
-def test_components(spark, monkeypatch, seed, group, leaders):
+@pytest.mark.parametrize(("seed", "group", "leaders", "large"), [(1, 250, 16, 32), (2, 8, 2, 2)])
+def test_components(spark, monkeypatch, seed, group, leaders, large):
+    monkeypatch.setattr(ngram_join, "LARGE", large)
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     docs = corpus(seed)
@@ -70,6 +71,7 @@ def test_boilerplate(spark, monkeypatch, group, leaders):
     """Many texts that share most of their words, some of them above and some below the threshold, of different sizes."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    monkeypatch.setattr(ngram_join, "LARGE", 12)
     rnd = random.Random(5)
     terms = [f"b{i}" for i in range(120)]
     docs = [" ".join(terms[: rnd.randint(60, 120)] + [f"u{i}_{k}" for k in range(rnd.randint(0, 40))]) for i in range(120)]

@@ -55,6 +55,8 @@ LEVELS = (2, 4, 16, 64, 250)
 BUCKETS_A_BYTE = 0.5
 #: Sets of one group that one task reads, and leaders that it holds. Groups get larger where there are sets for more than MOST_GROUPS of them.
 GROUP, LEADERS, MOST_GROUPS = 250, 16, 1 << 16
+#: Sets from which a component is large.
+LARGE = 32
 #: Rounds of leaders go on while they leave fewer leaders in split groups than this share of the last round's.
 SHRINKS = 0.9
 _EPS = 1e-9
@@ -205,10 +207,10 @@ def _following(sets: DataFrame, total: int) -> DataFrame:
         last = left
 
 
-def _posts(sets: DataFrame, led: DataFrame, labels: DataFrame) -> DataFrame:
-    """The shingles that sets probe with: (id, n, block, head, d, label, token, rest), ``rest`` being the shingles from the position on.
+def _fronts(sets: DataFrame, led: DataFrame, labels: DataFrame) -> DataFrame:
+    """The shingles that each set probes with: (id, n, n0, front, head, d, label).
 
-    ``head`` is the nearest leader of a set, at distance ``d``, or the set itself. Shingles that no other set has are not posted.
+    ``head`` is the nearest leader of a set, at distance ``d``, or the set itself. Shingles that no other set has are left out.
     """
     front = F.greatest(F.lit(0), F.col("n") - F.ceil(THRESHOLD * F.col("n") - _EPS) + 1 - F.col("n0")).cast("int")
     slim = sets.select("id", "n", "n0", F.slice("shingles", F.col("n0") + 1, front).alias("front")).where(F.size("front") > 0)
@@ -216,9 +218,7 @@ def _posts(sets: DataFrame, led: DataFrame, labels: DataFrame) -> DataFrame:
     named = slim.join(near, "id", "left").join(labels, "id", "left").select(
         "id", "n", "n0", "front", F.coalesce("near.b", "id").alias("head"), F.coalesce("near.d", F.lit(0.0)).alias("d"), F.coalesce("label", "id").alias("label")
     )
-    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(THRESHOLD)) + _EPS).cast("int").alias("block")
-    posts = materialize(named, "ngram-fronts").select("id", "n", "n0", block, "head", "d", "label", F.posexplode("front").alias("at", "token"))
-    return posts.withColumn("rest", F.col("n") - F.col("n0") - F.col("at"))
+    return materialize(named, "ngram-fronts")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -226,17 +226,23 @@ def _overlap(a: Column, b: Column) -> Column:
     return THRESHOLD / (1 + THRESHOLD) * (a + b) - _EPS
 
 
-def _sides(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The entries of the lists, and the probes with the ``block`` that each goes to; of two sets the larger one probes."""
+def _sides(fronts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of the lists, and the probes with the ``block`` that each goes to; of two sets the larger one probes.
+
+    A row is a shingle, ``token``, of a set; ``rest`` counts the shingles from its position on.
+    """
+    block = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(THRESHOLD)) + _EPS).cast("int").alias("block")
+    posts = fronts.select(*[c for c in fronts.columns if c != "front"], block, F.posexplode("front").alias("at", "token"))
+    posts = posts.withColumn("rest", F.col("n") - F.col("n0") - F.col("at")).drop("n0", "at")
     listed = posts.where(F.col("rest") >= _overlap(F.col("n"), F.col("n")))
     least = F.greatest(F.pow(F.lit(1 / THRESHOLD), F.col("block")) * (1 - 1e-6), THRESHOLD * F.col("n"))
     sent = posts.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"))))
     return listed, sent.where(F.col("rest") >= _overlap(F.col("n"), least))
 
 
-def _met(posts: DataFrame) -> DataFrame:
+def _met(fronts: DataFrame) -> DataFrame:
     """Pairs (a, b) of leaders of different components, some of whose sets may link."""
-    listed, sent = _sides(posts)
+    listed, sent = _sides(fronts)
 
     def entries(rows: DataFrame, x: str) -> DataFrame:
         least = [F.max("rest").alias(f"{x}_rest"), F.min("n").alias(f"{x}_n"), F.max("n").alias(f"{x}_most")]
@@ -252,20 +258,34 @@ def _met(posts: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between(posts: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that may link, between the leaders (h, g, far) of ``open_``, ``far`` being how far apart these are."""
-    listed, sent = _sides(posts)
-    named = lambda rows, x: rows.select("token", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "rest", "head", "d")])
+def _between(fronts: DataFrame, labels: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that may link, between the leaders (h, g, far) of ``open_``, ``far`` being how far apart these are.
+
+    Sets of large components do not probe lists of large components, most entries of which are of
+    their own; large components meet by their open leaders only.
+    """
+    heads = open_.select(F.col("h").alias("head")).unionByName(open_.select(F.col("g").alias("head"))).distinct()
+    named = fronts.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = named.groupBy("label").agg((F.count("*") >= LARGE).alias("large"))
+    listed, sent = _sides(named.join(heads, "head", "left_semi").join(sizes, "label"))
+    side = lambda rows, x, *keys: rows.select("token", "block", *keys, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "rest", "head", "d", "label")])
     ways = open_.select(F.col("h").alias("a_head"), F.col("g").alias("b_head"), "far")
     ways = ways.unionByName(open_.select(F.col("g").alias("a_head"), F.col("h").alias("b_head"), "far"))
     fits = (
         ((F.col("a_n") > F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_id") > F.col("b_id")))
         & (F.col("b_n") >= THRESHOLD * F.col("a_n") - _EPS)
         & (F.least("a_rest", "b_rest") >= _overlap(F.col("a_n"), F.col("b_n")))
-        & (F.col("a_d") + F.col("b_d") >= F.col("far") - (1 - THRESHOLD) - _EPS)
+        & (F.col("a_label") != F.col("b_label"))
     )
-    both = named(sent, "a").join(ways, "a_head").join(named(listed, "b"), ["token", "block", "b_head"]).where(fits)
-    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    near = F.col("a_d") + F.col("b_d") >= F.col("far") - (1 - THRESHOLD) - _EPS
+    asked = F.explode(F.when(F.col("large"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to")
+    some = side(sent, "a", asked).join(side(listed, "b", F.col("large").alias("to")), ["token", "block", "to"]).where(fits).join(ways, ["a_head", "b_head"]).where(near)
+    big = lambda rows: rows.where("large")
+    known = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").withColumn("label", F.coalesce("label", "head"))
+    both = big(known.join(sizes, "label")).select("head")
+    between = ways.join(both.withColumnRenamed("head", "a_head"), "a_head", "left_semi").join(both.withColumnRenamed("head", "b_head"), "b_head", "left_semi")
+    large = side(big(sent), "a").join(between, "a_head").where(F.col("a_d") + 1 - THRESHOLD >= F.col("far") - (1 - THRESHOLD) - _EPS).join(side(big(listed), "b"), ["token", "block", "b_head"]).where(fits & near)
+    return some.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(large.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,8 +299,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, led: DataFrame) -> DataFrame:
     """(id, label) of the components of all links."""
     labels = components(led)
-    posts = _posts(sets, led, labels)
-    heads = materialize(_verified(_met(posts), sets), "ngram-leaders")
+    fronts = _fronts(sets, led, labels)
+    heads = materialize(_verified(_met(fronts), sets), "ngram-leaders")
     edges = led.select("a", "b")
     linked = heads.where("link").select("a", "b")
     if not linked.isEmpty():
@@ -294,7 +314,7 @@ def _links(sets: DataFrame, led: DataFrame) -> DataFrame:
     open_ = materialize(gap.select(F.col("a").alias("h"), F.col("b").alias("g"), F.col("d").alias("far")), "ngram-open")
     if open_.isEmpty():
         return labels
-    more = materialize(_verified(_between(posts, open_), sets).where("link").select("a", "b"), "ngram-links")
+    more = materialize(_verified(_between(fronts, labels, open_), sets).where("link").select("a", "b"), "ngram-links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
