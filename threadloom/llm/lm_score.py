@@ -58,6 +58,7 @@ def measure(df: DataFrame, text: str = "text") -> tuple[int, int]:
             for _, run in tokens.raw(batch.column(0)):
                 size += sum(map(len, run))
                 words += sum(len(t.split()) for t in run)
+        tokens.trim()
         yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([words])], ["size", "words"])
 
     found = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(counted, "size bigint, words bigint").agg(F.sum("size"), F.sum("words")).first()
@@ -155,6 +156,7 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
     def send(table: pa.Table) -> pa.Table:
         block = Block(texts(table))
         number = table.column("block")[0].as_py()
+        del table
         out: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
         for n in range(ORDER):
             kinds, own = block.kinds[n], block.own[n]
@@ -163,6 +165,8 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for key, v in zip(out, (int(part[a]), number, n, pack(kinds[a:b]), _thin(own[a:b])), strict=True):
                     out[key].append(v)
+        del block
+        tokens.trim()
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(out))
 
     def add(table: pa.Table) -> pa.Table:
@@ -172,6 +176,8 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
         total = np.bincount(back, np.concatenate(counts), len(kinds)).astype(np.int64)
         ends = np.cumsum([len(g) for g in grams])
         answers = [_thin(total[back[e - len(g) : e]]) for g, e in zip(grams, ends, strict=True)]
+        del grams, counts, back, kinds, total
+        tokens.trim()
         return pa.table([table.column("block"), table.column("part"), table.column("n"), pa.array(answers, pa.binary())], ["block", "part", "n", "counts"])
 
     sent = dealt.groupBy("block").applyInArrow(send, _SENT)
