@@ -30,7 +30,7 @@ TTL_MS = 24 * 3_600_000
 EMITTED = T.StructType(
     [T.StructField("thread_id", T.StringType()), T.StructField("session", T.StringType()), T.StructField("version", T.LongType()), T.StructField("messages", T.StringType())]
 )
-_JSON_MESSAGE = "array<struct<id:string,ms:bigint,ord:int,idx:int,sender:struct<name:string,email:string>,source:string,body:string,body_html:string,ts_estimated:boolean,zone_unknown:boolean,is_current_user:boolean,quoted_by:string,ordered_by_quote:boolean,history_carrier:boolean,recipients:array<string>>>"
+_JSON_MESSAGE = "array<struct<id:string,ms:bigint,ord:int,idx:int,sender:struct<name:string,email:string>,source:string,body:string,body_html:string,ts_estimated:boolean,zone_unknown:boolean,is_current_user:boolean,quoted_by:string,ordered_by_quote:boolean,history_carrier:boolean,recipients:array<string>,ts_raw:string,attachments:array<struct<name:string,mime_type:string,size_label:string,download_url:string>>,quoted_variants:array<struct<body:string,body_html:string>>>>"
 
 
 def read_snapshots(spark: SparkSession, path: str, files: int = BATCH) -> DataFrame:
@@ -61,8 +61,9 @@ def classify(changes: DataFrame) -> DataFrame:
 class ThreadState(StatefulProcessor):
     """The messages and container marks of one thread.
 
-    The group key gives one batch at a time per thread (I8). A batch of a new session first
-    clears what the last one left (I4). Unchanged containers are skipped (I6). The state is
+    The group key gives one batch at a time per thread (I8). Sessions of a batch are read one after
+    another, in order of their first rows; a new one first clears what the last one left (I4), and late rows
+    of one that has been left are dropped. Unchanged containers are skipped (I6). The state is
     merged with the batch (I10), and the thread is emitted with the next version if anything
     changed (I11). Idle state is cleared by a timer (I12, I13).
     """
@@ -72,17 +73,21 @@ class ThreadState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("thread", T.StructType([T.StructField("session", T.StringType()), T.StructField("version", T.LongType()), T.StructField("messages", T.StringType()), T.StructField("marks", T.StringType())]))
+        self.held = handle.getValueState("thread", T.StructType([T.StructField("session", T.StringType()), T.StructField("version", T.LongType()), T.StructField("messages", T.StringType()), T.StructField("marks", T.StringType()), T.StructField("past", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        session, version, messages, marks = None, 0, [], {}
+        session, version, messages, marks, past = None, 0, [], {}, []
         if self.held.exists():
-            session, version, old, old_marks = self.held.get()
-            messages, marks = json.loads(old), json.loads(old_marks)
+            session, version, old, old_marks, old_past = self.held.get()
+            messages, marks, past = json.loads(old), json.loads(old_marks), json.loads(old_past)
         changed = False
-        batch = pd.concat(list(rows)).sort_values("seq")
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch[~batch["session"].isin(past)]
+        arrived = {s: i for i, s in enumerate(dict.fromkeys([session, *batch["session"]]))}
+        batch = batch.assign(arrived=batch["session"].map(arrived)).sort_values(["arrived", "seq"], kind="stable").drop(columns="arrived")
         for row in batch.to_dict("records"):
             if row["session"] != session:
+                past += [session] if session is not None else []
                 session, messages, marks, changed = row["session"], [], {}, True
             snap = json.loads(row["snapshot"])
             own = snap["message"]["id"]
@@ -95,7 +100,7 @@ class ThreadState(StatefulProcessor):
             changed, messages = changed or after != messages, after
         if changed:
             version += 1
-            self.held.update((session, version, json.dumps(messages), json.dumps(marks)))
+            self.held.update((session, version, json.dumps(messages), json.dumps(marks), json.dumps(past)))
             yield pd.DataFrame({"thread_id": [key[0]], "session": [session], "version": [version], "messages": [json.dumps(messages)]})
         if timerValues is not None and self.ttl_ms and timerValues.getCurrentProcessingTimeInMs() > 0:
             for at in list(self.handle.listTimers()):
@@ -131,7 +136,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def messages_of(emitted: DataFrame) -> DataFrame:
     """The message rows of emitted threads."""
     rows = emitted.select("thread_id", "version", F.posexplode(F.from_json("messages", _JSON_MESSAGE)).alias("pos", "m"))
-    return rows.select("thread_id", "version", F.col("pos").alias("ord"), *[F.col(f"m.{c}").alias(c) for c in ("id", "sender", "source", "body", "body_html", "ts_estimated", "zone_unknown", "is_current_user", "quoted_by", "ordered_by_quote", "history_carrier", "recipients")], F.timestamp_millis("m.ms").alias("ts"))
+    return rows.select("thread_id", "version", F.col("pos").alias("ord"), *[F.col(f"m.{c}").alias(c) for c in ("id", "sender", "source", "body", "body_html", "ts_estimated", "zone_unknown", "is_current_user", "quoted_by", "ordered_by_quote", "history_carrier", "recipients", "ts_raw", "attachments", "quoted_variants")], F.timestamp_millis("m.ms").alias("ts"))
 
 
 def latest(emitted: DataFrame) -> DataFrame:
