@@ -27,13 +27,15 @@ def test_one_stand_in_for_each_person():
 
 
 def test_masked_markup():
-    m = mask.Masker()
-    m.person("ana@northwind.example", "Ana Ruiz")
-    html = m.html('<p class="x" title="Ana">Dear Ana <a href="https://northwind.example/ana?t=1">link</a><img src="https://i.example/p.jpg?x=1"><img src="cid:AB"></p>')
+    own = '<p class="x" title="Ana">Dear Ana <a href="https://northwind.example/ana?t=1">link</a><img src="https://i.example/p.jpg?x=1"><img src="cid:AB"></p>'
+    theirs = '<div class="k" data-hovercard-id="ana@northwind.example" data-message-id="m9" datetime="2026">Ana</div>'
+    m = mask.Rewriter(mask.book([*mask.of_person("ana@northwind.example", "Ana Ruiz"), *mask.of_markup(own), *mask.of_markup(theirs, True)]))
+    html = m.html(own)
     assert html == '<p class="x" title="Person 1">Dear Person 1 <a href="https://company1.example/Person 1?masked">link</a><img src="https://images.example/image-1.jpg"><img src="cid:masked-2@company.example"></p>'
     assert m.image("https://i.example/p.jpg?other") == "https://images.example/image-1.jpg"
     assert m.url("data:x") == "masked:image" and m.url("mailto:ana@northwind.example") == "mailto:person1@company1.example"
-    provider = m.provider_html('<div class="k" data-hovercard-id="ana@northwind.example" data-message-id="m9" datetime="2026">Ana</div>')
+    provider = m.html(theirs, True)
+    assert m.text("new@elsewhere.example") == "person@company.example" and m.image("https://new.example/1.gif") == "https://images.example/image-0.gif"
     assert "ana" not in provider and 'datetime="2026"' in provider and 'data-message-id="masked-1"' in provider
 
 
