@@ -159,3 +159,41 @@ def test_folded_snapshots(spark):
     snaps = snapshot_rows(spark, 1).withColumns({"html": F.lit('<img src="data:image/png;base64,AAAA">'), "image_sources": F.array(F.lit("data:image/png;base64,AAAA"), F.lit("cid:1"))})
     r = markup.fold_snapshot(snaps).first()
     assert r.image_sources[0] in r.html and "folded" in r.html and r.image_sources[1] == "cid:1"
+
+
+def test_sessions_of_one_batch(spark, tmp_path):
+    """Sessions are read one after another; late rows of one that was left are dropped; whole messages come out."""
+    file = [{"name": "f.pdf", "mime_type": "x", "size_label": "1 KB", "download_url": "u"}]
+    rows = frame(spark, [direct(f"m{i}", f"body number {i}", attachments=file) for i in range(4)])
+    head = F.struct(*[F.col(n).alias(n) for n in rows.columns])
+    snaps = rows.select("thread_id", F.col("ord").alias("seq"), F.lit("").alias("current_user"), head.alias("message"), F.concat(F.lit("<p>"), "body", F.lit("</p>")).alias("html"), F.array().cast("array<string>").alias("image_sources"))
+    names = ["thread_id", "session", "seq", "current_user", "message", "html", "image_sources"]
+    of = lambda s: snaps.withColumn("session", F.lit(s)).select(*names).coalesce(1)
+    of("s1").unionByName(of("s2")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    inc.use_rocksdb(spark)
+    sink = inc.LatestThreads(str(tmp_path / "out"))
+
+    def run():
+        stream = inc.threads(inc.read_snapshots(spark, str(tmp_path / "in"), 1))
+        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        last = sink.read(spark)
+        return last.first(), inc.messages_of(last).collect()
+
+    last, found = run()
+    assert last.session == "s2" and len(found) == 4 and all(r.attachments[0].name == "f.pdf" for r in found)
+    of("s1").where("seq = 0").write.mode("append").parquet(str(tmp_path / "in"))
+    last, found = run()
+    assert last.session == "s2" and len(found) == 4
+
+
+def test_long_threads_and_wide_characters(spark):
+    from threadloom.operators.split import split
+
+    rows = frame(spark, [direct("a", "hello there")])
+    head = F.struct(*[F.col(n).alias(n) for n in rows.columns])
+    snaps = rows.select("thread_id", F.lit("s").alias("session"), F.lit(3_000_000).cast("long").alias("seq"), F.lit("").alias("current_user"), head.alias("message"), F.lit("<p>hello there</p>").alias("html"), F.array().cast("array<string>").alias("image_sources"))
+    assert split(snaps).first().ord == 300_000_000_000
+    from threadloom.functions import text as tx
+
+    one = spark.createDataFrame([("a😀b", "c")], "x string, y string").select(tx.stable_id(F.col("x"), F.col("y")).alias("id")).first().id
+    assert one == "msg-3zhu8c"

@@ -69,10 +69,16 @@ def initials(name: Column) -> Column:
     return F.when(F.length(letters) > 0, F.left(letters, F.lit(2))).otherwise(F.lit("??"))
 
 
+def utf16(text: Column) -> Column:
+    """The UTF-16 units of a text as longs; characters beyond the basic plane are two."""
+    points = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    high = lambda c: F.floor((c - 65536) / 1024) + 55296
+    return F.flatten(F.transform(points, lambda c: F.when(c < 65536, F.array(c)).otherwise(F.array(high(c), (c - 65536) % 1024 + 56320))))
+
+
 def palette_index(text: Column) -> Column:
     """position in the palette, a 31-hash kept below its size."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    return F.aggregate(codes, F.lit(0), lambda h, c: (h * 31 + c) % len(PALETTE))
+    return F.aggregate(utf16(text), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % len(PALETTE)).cast("int")
 
 
 def palette_colour(text: Column) -> Column:
@@ -95,8 +101,7 @@ def mime_of(filename: Column) -> Column:
 
 def hash31(text: Column) -> Column:
     """A 31-hash wrapped to a signed 32-bit integer after each step, as a long."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648))
+    return F.aggregate(utf16(text), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648))
 
 
 def stable_id(*parts: Column) -> Column:

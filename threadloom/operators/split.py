@@ -432,7 +432,7 @@ def split(snapshots: DataFrame) -> DataFrame:
     packed = F.struct("thread_id", "current_user", "message", "html", "image_sources")
     # ord is made unique within the thread: snapshot sequence first, place in the snapshot second
     rows = usable.select("seq", F.posexplode(explode(packed)).alias("at", "m"))
-    return rows.select("m.*", "seq", "at").withColumn("ord", F.col("seq") * 100_000 + F.col("at")).drop("seq", "at")
+    return rows.select("m.*", "seq", "at").withColumn("ord", F.col("seq").cast("long") * 100_000 + F.col("at")).drop("seq", "at")
 
 
 def plain_to_html(text: Column) -> Column:

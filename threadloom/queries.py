@@ -42,7 +42,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     given = {
         "thread_id": F.col("conv_id").cast("string"),
         "id": F.concat_ws("-", "conv_id", "turn"),
-        "ord": F.col("turn").cast("int"),
+        "ord": F.col("turn").cast("long"),
         "idx": F.col("turn").cast("int"),
         "sender": F.struct(F.col("role").alias("name"), F.concat("role", F.lit("@example.net")).alias("email")),
         "ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60),
@@ -61,7 +61,7 @@ SELECT conv_id::VARCHAR AS thread_id, role || '@example.net' AS email, role AS n
 FROM conversations GROUP BY ALL""")
 def participants(spark, d):
     """A1."""
-    return aggregate.participants(messages(spark, d)).select("thread_id", "email", F.col("sender.name").alias("name"), "message_count", "first_pos")
+    return aggregate.participants(messages(spark, d)).select("thread_id", "email", F.col("sender.name").alias("name"), "message_count", F.col("first_pos").cast("int").alias("first_pos"))
 
 
 @_query("""
@@ -87,7 +87,7 @@ def message_count(spark, d):
 @_query("SELECT conv_id::VARCHAR AS thread_id, role || '@example.net' AS email, arg_max(role, turn) AS name, min(turn)::INT AS first_pos FROM conversations GROUP BY 1, 2")
 def last_senders(spark, d):
     """A3."""
-    return aggregate.last_senders(messages(spark, d)).select("thread_id", "email", F.col("sender.name").alias("name"), "first_pos")
+    return aggregate.last_senders(messages(spark, d)).select("thread_id", "email", F.col("sender.name").alias("name"), F.col("first_pos").cast("int").alias("first_pos"))
 
 
 @_query("SELECT conv_id::VARCHAR AS thread_id, role || '@example.net' AS email, bool_or(role = 'user') AS is_reader FROM conversations GROUP BY 1, 2")
@@ -497,7 +497,7 @@ def offset_vote(spark, d):
     odd = F.col("event_id") % 2 == 1
     none = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGE.fields}
     rows = none | {
-        "thread_id": F.col("user_id").cast("string"), "id": F.col("event_id").cast("string"), "ord": F.col("event_id").cast("int"),
+        "thread_id": F.col("user_id").cast("string"), "id": F.col("event_id").cast("string"), "ord": F.col("event_id").cast("long"),
         "sender": F.struct(F.lit("a").alias("name"), F.lit("a@x.org").alias("email")), "ts": F.col("ts").cast("timestamp"), "zone_unknown": ~odd,
         "source": F.when(odd, F.lit("direct")).otherwise(F.lit("quoted")), "body": F.repeat(F.col("event_type"), F.lit(12)),
     }
@@ -605,10 +605,44 @@ def reconciled_threads(spark, d):
     return reconcile.reconcile(messages(spark, d)).select("thread_id", "id", "ord", "sender", "ts", "ordered_by_quote")
 
 
-@_query()
+@_query("""
+WITH m AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY f) AS who FROM m)
+SELECT 'masked-' || dense_rank() OVER (ORDER BY conv_id::VARCHAR) AS thread_id, 'masked-' || (pos + 1) AS id, turn AS ord, 'Person ' || who AS name, 'person' || who || '@company1.example' AS email FROM n""")
 def masked_threads(spark, d):
-    """Every conversation masked."""
-    return mask.mask(messages(spark, d)).select("thread_no", "id", "ord", "sender", F.md5(F.col("body").cast("binary")).alias("body"))
+    """Every conversation masked, by its headers."""
+    return mask.mask(messages(spark, d)).select("thread_id", "id", "ord", "sender.name", "sender.email")
+
+
+@_query()
+def masked_bodies(spark, d):
+    """The bodies of every conversation masked."""
+    return mask.mask(messages(spark, d)).select("thread_no", "ord", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@_query("""
+SELECT conv_id::VARCHAR AS thread_id, turn AS ord, 'Dear Person ' || who || ', call [phone-1] or ask person' || who || '@company1.example. Company 1 has order 12345.' AS body FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY min) AS who FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS min FROM conversations))""")
+def masked_text(spark, d):
+    """A text that names its author, the author's address and employer, and one number."""
+    text = F.concat(F.lit("Dear "), F.col("sender.name"), F.lit(", call +44 20 7946 0000 or ask "), F.col("sender.email"), F.lit(". Northwind has order 12345."))
+    named = F.col("sender").withField("email", F.concat("sender.name", F.lit("@northwind.example")))
+    m = messages(spark, d).withColumn("sender", named).withColumn("body", text)
+    done, order_ = mask.mask(m), m.select(F.col("thread_id"), "ord")
+    numbers = mask.thread_numbers(m)
+    return done.join(numbers.withColumnRenamed("thread_id", "real"), "thread_no").select(F.col("real").alias("thread_id"), "ord", "body").join(order_, ["thread_id", "ord"])
+
+
+@_query(r"""
+SELECT page_id, '<p title="Person 1">Person 1</p><a href="https://company2.example/p?masked">x</a><img src="https://images.example/image-1.png">' AS html FROM pages""")
+def masked_markup(spark, d):
+    """A message of markup in which each page's author, host and picture are named."""
+    html = F.concat(F.lit('<p title="Ana Ruiz">Ana Ruiz</p><a href="https://host'), F.col("page_id"), F.lit('.example/p?q=1">x</a><img src="https://i'), F.col("page_id"), F.lit('.example/a.png?w=2">'))
+    none = {f.name: F.lit(None).cast(f.dataType) for f in MESSAGE.fields}
+    given = none | {"thread_id": F.col("page_id").cast("string"), "id": F.lit("m"), "ord": F.lit(0).cast("long"), "sender": F.struct(F.lit("Ana Ruiz").alias("name"), F.lit("ana@northwind.example").alias("email")), "body_html": html}
+    rows = _t(spark, d, "pages").select(*[given[n].alias(n) for n in MESSAGE.fieldNames()])
+    back = mask.thread_numbers(rows).withColumnRenamed("thread_id", "real")
+    return mask.mask(rows).join(back, "thread_no").select(F.col("real").cast("long").alias("page_id"), F.col("body_html").alias("html"))
 
 
 @_query()
@@ -666,13 +700,13 @@ def zone_test(spark, d):
 
 
 @_query("""
-SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS goes_on, s_suppkey % 3 = 1 AS open_list FROM supplier""")
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS goes_on, s_suppkey % 3 <> 0 AS open_list FROM supplier""")
 def recipient_lines(spark, d):
     """an address with its name, a list that ends in a comma, and prose."""
     n = F.col("s_suppkey")
     mail = F.concat(F.lit("s"), n, F.lit("@x.example"))
     line = F.when(n % 3 == 0, F.concat(F.lit("Supplier West <"), mail, F.lit(">"))).when(n % 3 == 1, F.concat(mail, F.lit(", "))).otherwise(F.lit("please write to us about the order"))
-    return _t(spark, d, "supplier").select("s_suppkey", tx.continues_recipients(line).alias("goes_on"), (tx.recipients_unfinished(line) & (n % 3 != 2)).alias("open_list"))
+    return _t(spark, d, "supplier").select("s_suppkey", tx.continues_recipients(line).alias("goes_on"), tx.recipients_unfinished(line).alias("open_list"))
 
 
 @_query("""

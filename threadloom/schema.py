@@ -13,7 +13,7 @@ MESSAGE = T.StructType(
     [
         T.StructField("thread_id", T.StringType()),
         T.StructField("id", T.StringType()),
-        T.StructField("ord", T.IntegerType()),
+        T.StructField("ord", T.LongType()),
         T.StructField("idx", T.IntegerType()),
         T.StructField("sender", SENDER),
         T.StructField("ts", T.TimestampType()),
@@ -38,7 +38,7 @@ SNAPSHOT = T.StructType(
     [
         T.StructField("thread_id", T.StringType()),
         T.StructField("session", T.StringType()),
-        T.StructField("seq", T.IntegerType()),
+        T.StructField("seq", T.LongType()),
         T.StructField("current_user", T.StringType()),
         T.StructField("message", MESSAGE),
         T.StructField("html", T.StringType()),
