@@ -621,10 +621,10 @@ def masked_bodies(spark, d):
 
 
 @_query("""
-SELECT conv_id::VARCHAR AS thread_id, turn AS ord, 'Dear Person ' || who || ', call [phone-1] or ask person' || who || '@company1.example. Company 1 has order 12345.' AS body FROM (
+SELECT conv_id::VARCHAR AS thread_id, turn AS ord, 'Dear ' || CASE WHEN role = 'user' THEN role ELSE 'Person ' || who END || ', call [phone-1] or ask person' || who || '@company1.example. Company 1 has order 12345.' AS body FROM (
   SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY min) AS who FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS min FROM conversations))""")
 def masked_text(spark, d):
-    """A text that names its author, the author's address and employer, and one number."""
+    """A text that names its author (``user`` is too general a word to be masked), an address, an employer and a number."""
     text = F.concat(F.lit("Dear "), F.col("sender.name"), F.lit(", call +44 20 7946 0000 or ask "), F.col("sender.email"), F.lit(". Northwind has order 12345."))
     named = F.col("sender").withField("email", F.concat("sender.name", F.lit("@northwind.example")))
     m = messages(spark, d).withColumn("sender", named).withColumn("body", text)
