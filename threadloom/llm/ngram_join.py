@@ -352,10 +352,12 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row of ``df`` for each component: of its least ``doc_id``, nulls last. Of rows equal in id and text one stays."""
     found = materialize(classes(df, doc_id, text).select("doc", "k", "class"), "ngram-classes")
     first = found.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "k")).alias("x"))
-    stay = first.select("x.doc", "x.k").unionByName(found.where("class is null").select("doc", "k")).select(F.col("doc").alias("d"), F.col("k").alias("c"))
-    held = carried(df, doc=F.col(f"`{doc_id}`").cast("long"), k=_print(f"`{text}`"))
-    kept = held.join(stay, F.col("doc").eqNullSafe(F.col("d")) & (F.col("k") == F.col("c")), "left_semi")
-    return unpacked(kept.dropDuplicates(["doc", "k"]), df.columns)
+    stay = first.select("x.doc", "x.k").unionByName(found.where("class is null").select("doc", "k"))
+    # plain columns for a null id, so that the join and the last grouping need one exchange of the rows, not two
+    keys = lambda doc, k: {"id": F.coalesce(doc, F.lit(0)), "none": doc.isNull(), "k": k}
+    held = carried(df, **keys(F.col(f"`{doc_id}`").cast("long"), _print(f"`{text}`")))
+    kept = held.join(stay.select(*[c.alias(n) for n, c in keys(F.col("doc"), F.col("k")).items()]), ["id", "none", "k"], "left_semi")
+    return unpacked(kept.dropDuplicates(["id", "none", "k"]), df.columns)
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
