@@ -852,3 +852,6 @@ def rebuilt_threads(spark, d):
     clock = F.timestamp_seconds(F.lit(1_775_779_200) + (F.col("ord") % 12 + 1) * 3600)
     both = split(nested_pages(spark, d)).unionByName(direct.withColumns({"ts": clock, "ord": F.col("ord") + 1_000_000}))
     return reconcile.reconcile(both).groupBy("thread_id").agg(F.count("*").alias("messages"))
+
+
+from . import step_queries  # noqa: E402, F401  (it adds its queries to those above)

@@ -94,8 +94,8 @@ def capture_snapshots(captures: DataFrame) -> DataFrame:
 
 
 def write_captures(captures: DataFrame, path: str) -> None:
-    """S23."""
-    captures.write.json(path)
+    """One file a capture, as ``read_captures`` reads them."""
+    captures.write.option("maxRecordsPerFile", 1).json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -166,12 +166,15 @@ def conversation_html(messages: DataFrame, subjects: DataFrame, masked: bool = F
 
 
 def export(documents: DataFrame, path: str, day: Column, images: bool = False, masked: bool = False) -> None:
-    """Documents written as text, one directory a file name; pictures are replaced by names unless kept."""
+    """Documents written as text, one directory a file name and thread; pictures are replaced by names unless kept.
+
+    Threads of one subject and day share a name, so the thread stands below it.
+    """
     if masked or not images:
         strip = markup.counted_udf(markup.strip_images)
         documents = documents.withColumn("html", strip(F.col("html"))["html"])
     name = tx.export_name(F.coalesce("subject", F.lit("")), day, "masked" if masked else "" if images else "no-images")
-    documents.select(name.alias("file"), F.col("html").alias("value")).write.partitionBy("file").text(path)
+    documents.select(name.alias("file"), F.col("thread_id").alias("thread"), F.col("html").alias("value")).write.partitionBy("file", "thread").text(path)
 
 
 # --- attachment store ---------------------------------------------------------------------
