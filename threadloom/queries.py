@@ -599,10 +599,11 @@ def renumbered_ids(spark, d):
 # --- whole jobs ---------------------------------------------------------------------------
 
 
-@_query()
+@_query("""
+SELECT conv_id::VARCHAR AS thread_id, conv_id || '-' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role || '@example.net' AS email, (1700000000 + turn * 60)::BIGINT * 1000 AS ms, NULL::BOOLEAN AS ordered_by_quote FROM conversations""")
 def reconciled_threads(spark, d):
-    """Every conversation through the whole merge."""
-    return reconcile.reconcile(messages(spark, d)).select("thread_id", "id", "ord", "sender", "ts", "ordered_by_quote")
+    """Every conversation through the whole merge; direct messages are never copies of one another."""
+    return reconcile.reconcile(messages(spark, d)).select("thread_id", "id", "ord", "sender.email", F.unix_millis("ts").alias("ms"), "ordered_by_quote")
 
 
 @_query("""
@@ -645,20 +646,52 @@ def masked_markup(spark, d):
     return mask.mask(rows).join(back, "thread_no").select(F.col("real").cast("long").alias("page_id"), F.col("body_html").alias("html"))
 
 
-@_query()
+@_query("""
+WITH m AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY f) AS who FROM m)
+SELECT conv_id::VARCHAR AS thread_id, pos::INT AS pos, 'pos=#' || pos || ' sender=' || who || ' time=' || strftime(make_timestamp((1700000000 + turn * 60)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S.000') || ' source=direct flags=' || CASE WHEN role = 'user' THEN 'you' ELSE 'none' END
+  || ' lines=' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' quoted_by=none variants=0 recipients=0 attachments=0 images=' AS line FROM n""")
 def thread_shapes(spark, d):
     """R2."""
     return compare.shape(messages(spark, d)).select("thread_id", "pos", "line")
 
 
-@_query()
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@_query(f"""
+WITH b AS (SELECT conv_id, min(CASE WHEN role = 'assistant' THEN turn END) AS p, min(turn) AS f FROM conversations GROUP BY 1),
+m AS (SELECT conv_id, turn, role, CASE WHEN turn = p AND p > f THEN '<section class="participation"><strong>You were participating by this message</strong><p>This is your first authored message in the available history; you may have joined earlier.</p></section>' ELSE '' END
+  || '<article><header><strong>' || role || '</strong> <span>&lt;' || role || '@example.net&gt;</span><div class="meta">' || strftime(make_timestamp((1700000000 + turn * 60)::BIGINT * 1000000), '%A, %-d %B %Y, %H:%M:%S UTC')
+  || CASE WHEN role = 'user' THEN ' · You' ELSE '' END || '</div></header><div class="email-body"><div class="plain">' || {_ESCAPED} || '</div></div>'
+  || CASE WHEN turn = 1 THEN '<details><summary>Quoted copy differs (1)</summary><div>other &amp; more</div></details>' ELSE '' END || '</article>' AS a FROM conversations JOIN b USING (conv_id)),
+w AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2),
+p AS (SELECT conv_id, array_to_string(list(role || ' &lt;' || role || '@example.net&gt;' ORDER BY f), ' · ') AS people, count(*) AS n FROM w GROUP BY 1)
+SELECT conv_id::VARCHAR AS thread_id, 'Conversation ' || conv_id AS subject, md5(p.n || ' participants</p><p class="participants">' || people || '</p></section>' || array_to_string(list(a ORDER BY turn), chr(10)) || '</main></body></html>') AS digest
+FROM m JOIN p USING (conv_id) GROUP BY conv_id, p.n, people""")
 def conversation_export(spark, d):
-    """One document a conversation."""
+    """One document a conversation, from its participants on, with a banner where the assistant comes in, and a differing copy at the second turn."""
     from .sources.files import conversation_html
 
-    m = messages(spark, d)
+    other = F.array(F.struct(F.lit("other & more").alias("body"), F.lit(None).cast("string").alias("body_html")))
+    m = messages(spark, d).withColumn("quoted_variants", F.when(F.col("ord") == 1, other))
     subjects = m.groupBy("thread_id").agg(F.concat(F.lit("Conversation "), F.first("thread_id")).alias("subject"))
-    return conversation_html(m, subjects).select("thread_id", "subject", F.length("html").alias("characters"))
+    done = conversation_html(m, subjects, participation=aggregate.participation(m, F.lit("assistant@example.net")))
+    shown = F.regexp_extract("html", r"(?s)messages · (.*)\z", 1)
+    return done.select("thread_id", "subject", F.md5(shown.cast("binary")).alias("digest"))
+
+
+@_query("""
+SELECT conv_id::VARCHAR AS thread_id, count(*) AS messages, 'default-src ''none''; img-src data: https:; style-src ''unsafe-inline''; base-uri ''none''; form-action ''none''' AS policy,
+       'Plan &lt;' || conv_id || '&gt;' AS title FROM conversations GROUP BY conv_id""")
+def export_heads(spark, d):
+    """The exported document's policy, title and count."""
+    from .sources.files import conversation_html
+
+    m = messages(spark, d)
+    subjects = m.select("thread_id").distinct().withColumn("subject", F.concat(F.lit("Plan <"), "thread_id", F.lit(">")))
+    found = lambda p: F.regexp_extract("html", p, 1)
+    return conversation_html(m, subjects).select("thread_id", found(r"<p>(\d+) messages").cast("long").alias("messages"), found(r'Security-Policy" content="([^"]*)"').alias("policy"), found("<title>([^<]*)</title>").alias("title"))
 
 
 @_query("""
@@ -794,7 +827,10 @@ def same_words(spark, d):
     return pairs.select("a", "b", tx.same_words(F.col("x"), F.col("y"), F.lit(True), F.lit(False)).alias("same"))
 
 
-@_query()
+@_query("""
+WITH t AS (SELECT doc_id, list_transform(string_split(to_base64(encode(text)), ''), lambda c: unicode(c)::HUGEINT) AS u FROM documents)
+SELECT doc_id, 'data:image/png;base64,folded' || lower(to_base(list_reduce(list_prepend(2166136261::HUGEINT, u), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::BIGINT, 36))
+  || lower(to_base(list_reduce(list_prepend(16777619::HUGEINT, list_transform(u, lambda c, i: c + i - 1)), lambda a, c: ((a + c) * 2246822519) % 4294967296)::BIGINT, 36)) AS folded FROM t""")
 def folded_pictures(spark, d):
     """Payloads folded to their digests."""
     docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("text").cast("binary"))).alias("source"))

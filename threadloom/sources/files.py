@@ -138,7 +138,9 @@ def articles(messages: DataFrame, pos: str = "ord") -> DataFrame:
         note(tx.yes(F.col("is_current_user")), "You"), F.lit("</div></header>"),
     )
     extra = F.coalesce(F.size("quoted_variants"), F.lit(0))
-    copies = F.when(extra > 0, F.concat(F.lit("<details><summary>Quoted copy differs ("), extra.cast("string"), F.lit(")</summary></details>"))).otherwise(F.lit(""))
+    # all copies are sanitised as one text, as a function of Python cannot be called for each element
+    each = F.transform("quoted_variants", lambda v: F.concat(F.lit("<div>"), F.when(F.coalesce(v["body_html"], F.lit("")) != "", v["body_html"]).otherwise(esc(F.coalesce(v["body"], F.lit("")))), F.lit("</div>")))
+    copies = F.when(extra > 0, F.concat(F.lit("<details><summary>Quoted copy differs ("), extra.cast("string"), F.lit(")</summary>"), clean(F.array_join(each, "")), F.lit("</details>"))).otherwise(F.lit(""))
     article = F.concat(F.lit("<article>"), head, F.lit('<div class="email-body">'), body, F.lit("</div>"), copies, listed, F.lit("</article>"))
     return messages.select("thread_id", F.col(pos).alias("pos"), "id", article.alias("article"))
 
@@ -147,9 +149,26 @@ def articles(messages: DataFrame, pos: str = "ord") -> DataFrame:
 POLICY = "default-src 'none'; img-src data: https:; style-src 'unsafe-inline'; base-uri 'none'; form-action 'none'"
 
 
-def conversation_html(messages: DataFrame, subjects: DataFrame, masked: bool = False) -> DataFrame:
-    """One document a thread: (thread_id, subject, html). ``messages`` are reconciled; ``subjects`` is (thread_id, subject)."""
-    parts = articles(messages).groupBy("thread_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "article"))), lambda x: x["article"]), "\n").alias("articles"), F.count("*").alias("n"))
+# What a reader is told where they come in, by kind.
+BANNERS = {
+    "authored": ("You were participating by this message", "This is your first authored message in the available history; you may have joined earlier."),
+    "recipient": ("You joined here · first visible inclusion", "This is the first available header that explicitly includes your address. It does not prove when you originally joined."),
+    "available": ("Your available mailbox history starts here", "Earlier messages were recovered from quoted history. Recipient information is insufficient to determine when you joined."),
+}
+
+
+def with_banners(parts: DataFrame, boundary: DataFrame) -> DataFrame:
+    """The articles, one under the banner of the boundary (thread_id, message_id, kind) that names its message."""
+    told = F.create_map(*[F.lit(x) for kind, (title, detail) in BANNERS.items() for x in (kind, f'<section class="participation"><strong>{title}</strong><p>{detail}</p></section>')])
+    at = boundary.select("thread_id", F.col("message_id").alias("id"), told[F.col("kind")].alias("banner"))
+    return parts.join(at, ["thread_id", "id"], "left").withColumn("article", F.concat(F.coalesce("banner", F.lit("")), "article")).drop("banner")
+
+
+def conversation_html(messages: DataFrame, subjects: DataFrame, masked: bool = False, participation: DataFrame | None = None) -> DataFrame:
+    """One document a thread: (thread_id, subject, html). ``messages`` are reconciled; ``subjects`` is (thread_id, subject), ``participation`` as ``aggregate.participation`` gives it."""
+    told = articles(messages)
+    told = told if participation is None else with_banners(told, participation)
+    parts = told.groupBy("thread_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "article"))), lambda x: x["article"]), "\n").alias("articles"), F.count("*").alias("n"))
     people = aggregate.last_senders(messages).groupBy("thread_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "sender"))), lambda x: F.concat_ws(" ", tx.escape_html(x["sender"]["name"]), tx.address_label(x["sender"]["email"]))), " · ").alias("people"),
         F.count("*").alias("n_people"),

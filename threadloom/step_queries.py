@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates, markup
 from .functions import text as tx
 from .functions.storage import folder
-from .operators import compare, query, reconcile
+from .operators import compare, mask, query, reconcile
 from .operators import split as sp
 from .plans import thread as plan
 from .queries import _query, _t, messages
@@ -383,3 +383,76 @@ def one_picture_key(spark, d):
     """What names a picture, whatever its size."""
     source = F.when(F.col("doc_id") % 2 == 0, F.lit("CID:A")).otherwise(filled("https://x.example/a.png?w={k}", k=F.col("doc_id")))
     return _t(spark, d, "documents").select("doc_id", tx.image_identity(F.concat(F.lit('<img src="'), source, F.lit('">'))).alias("key"))
+
+
+@_query("""SELECT page_id, '<p><span class="image-placeholder" data-image-name="map-' || page_id || '.png">map-' || page_id || '.png — the map</span></p>' AS html, 1 AS pictures FROM pages""")
+def named_pictures(spark, d):
+    """H7: pictures replaced by their names."""
+    html = filled('<p><img src="https://i.example/map-{k}.png?w=1" alt="the  map"></p>', k=F.col("page_id"))
+    return _t(spark, d, "pages").select("page_id", markup.counted_udf(markup.strip_images)(html).alias("r")).select("page_id", "r.html", F.col("r.n").alias("pictures"))
+
+
+@_query("SELECT s_suppkey::VARCHAR AS thread_id, 'old words of ' || s_suppkey AS body FROM supplier")
+def stranded_fields(spark, d):
+    """Fields left behind below an attribution are no words of its author."""
+    body = filled("Hi\nOn Fri, Apr 10, 2026 at 9:12 AM Ana Ruiz <ana@x.example> wrote:\nTo: bo@x.example\nSubject: Plan\n\nold words of {k}", k=F.col("s_suppkey"))
+    return sp.split(containers(_t(spark, d, "supplier"), "s_suppkey", sp.plain_to_html(body))).where("source = 'quoted'").select("thread_id", "body")
+
+
+@_query("""
+SELECT s_suppkey::VARCHAR AS thread_id, id, ord::BIGINT AS ord, s_suppkey % 2 = 0 AS ordered_by_quote FROM supplier, LATERAL (
+  SELECT 'old' AS id, 0 AS ord UNION ALL SELECT 'new', 1)""")
+def reply_order(spark, d):
+    """No message before one that it quotes; half of the quoted ones have a later clock, which both are told."""
+    who = sender(F.lit("Ana"), F.lit("ana@x.example"))
+    clock = F.when(F.col("s_suppkey") % 2 == 0, _at("09:30:00")).otherwise(_at("08:30:00"))
+    rows = copies(
+        _t(spark, d, "supplier"), "s_suppkey",
+        {"id": F.lit("new"), "source": F.lit("direct"), "sender": who, "ts": _at("09:00:00"), "body": F.lit("an answer to all of that")},
+        {"id": F.lit("old"), "source": F.lit("quoted"), "sender": who, "ts": clock, "body": F.lit("the question that came first"), "quoted_by": F.lit("new")},
+    )
+    return reconcile.reconcile(rows).select("thread_id", "id", "ord", F.coalesce("ordered_by_quote", F.lit(False)).alias("ordered_by_quote"))
+
+
+@_query("SELECT s_suppkey::VARCHAR AS thread_id, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n FROM supplier")
+def doubtful_copies(spark, d):
+    """A quoted copy that fits two follow-ups joins the one of its own clock, or stays where neither is."""
+    who = sender(F.lit("Ana"), F.lit("ana@x.example"))
+    text = F.lit("please send me the signed form for the north office by the end of this week")
+    quoted = F.when(F.col("s_suppkey") % 2 == 0, _at("15:00:10")).otherwise(_at("12:00:00"))
+    rows = copies(
+        _t(spark, d, "supplier"), "s_suppkey",
+        {"id": F.lit("d1"), "source": F.lit("direct"), "sender": who, "ts": _at("09:00:00"), "body": text},
+        {"id": F.lit("d2"), "source": F.lit("direct"), "sender": who, "ts": _at("15:00:00"), "body": text},
+        {"id": F.lit("q"), "source": F.lit("quoted"), "sender": who, "ts": quoted, "zone_unknown": F.lit(True), "body": text},
+    )
+    return reconcile.reconcile(rows).groupBy("thread_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, event_type <> 'error' AND user_id % 3 <> 0 AS anchored FROM events")
+def anchored_direct(spark, d):
+    """F26."""
+    source = F.when(F.col("user_id") % 3 == 0, F.lit("quoted")).when(F.col("user_id") % 3 == 1, F.lit("direct"))
+    return _t(spark, d, "events").select("event_id", tx.anchored_direct(source, F.col("ts").cast("timestamp"), F.col("event_type") == "error", F.lit(None).cast("boolean")).alias("anchored"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'map ' || p_partkey || '.jpg' WHEN 1 THEN 'part-' || p_partkey || '.webp' ELSE 'inline-image.webp' END AS name FROM part")
+def download_names(spark, d):
+    """F32: the label's name, the address's, or none, with the extension of what was fetched."""
+    k = F.col("p_partkey") % 3
+    source = F.when(k == 1, filled("https://i.example/part-{k}.png", k=F.col("p_partkey"))).otherwise(F.lit("cid:1"))
+    alt = F.when(k == 0, filled(" map {k}.png ", k=F.col("p_partkey"))).otherwise(F.lit("Inline image"))
+    return _t(spark, d, "part").select("p_partkey", tx.image_download_name(source, alt, F.when(k == 0, F.lit("image/jpeg")).otherwise(F.lit("image/webp"))).alias("name"))
+
+
+@_query("SELECT page_id::VARCHAR AS thread_id, 'Person 1' AS name, 'person1@company1.example' AS email, 'Dear Person 2, write to person2@company2.example' AS body FROM pages")
+def masked_containers(spark, d):
+    """Containers masked, their markup by the people that the thread names."""
+    k, rows = F.col("page_id"), _t(spark, d, "pages")
+    ts = F.lit(ANCHOR).cast("timestamp")
+    ana = message(thread_id=k, id=F.lit("a"), ord=F.lit(0), idx=F.lit(0), source=F.lit("direct"), sender=sender(F.lit("Ana Ruiz"), F.lit("ana@northwind.example")), ts=ts)
+    eve = message(thread_id=k, id=F.lit("e"), ord=F.lit(1), idx=F.lit(1), source=F.lit("direct"), sender=sender(F.lit("Eve Stone"), F.lit("eve.stone@southgate.example")), ts=ts)
+    one = containers(rows, "page_id", F.lit("Dear Eve Stone, write to eve.stone@southgate.example"))
+    pairs = rows.select(k.cast("string").alias("thread_id"), F.posexplode(F.array(ana, eve)).alias("at", "who"))
+    both = one.drop("message", "seq").join(pairs, "thread_id").withColumns({"message": F.col("who"), "seq": F.col("at").cast("long")})
+    return mask.mask_snapshots(both).where("seq = 0").select("thread_id", "message.sender.name", "message.sender.email", F.col("html").alias("body"))
