@@ -833,7 +833,7 @@ SELECT doc_id, 'data:image/png;base64,folded' || lower(to_base(list_reduce(list_
   || lower(to_base(list_reduce(list_prepend(16777619::HUGEINT, list_transform(u, lambda c, i: c + i - 1)), lambda a, c: ((a + c) * 2246822519) % 4294967296)::BIGINT, 36)) AS folded FROM t""")
 def folded_pictures(spark, d):
     """Payloads folded to their digests."""
-    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("text").cast("binary"))).alias("source"))
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")).alias("source"))
     return docs.select("doc_id", markup.text_udf(markup.fold_source)(F.col("source")).alias("folded"))
 
 

@@ -110,7 +110,8 @@ def read_files(spark: SparkSession, path: str, most: int = MAX_FILE) -> DataFram
 
 def as_data_url(content: Column, mime: Column) -> Column:
     """Raster pictures within the limit as payloads, null for anything else."""
-    return F.when(tx.raster_mime(mime) & (F.length(content) <= MAX_PICTURE), F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content)))
+    payload = F.translate(F.base64(content), "\r\n", "")  # Spark may break lines
+    return F.when(tx.raster_mime(mime) & (F.length(content) <= MAX_PICTURE), F.concat(F.lit("data:"), mime, F.lit(";base64,"), payload))
 
 
 def from_data_url(source: Column) -> Column:

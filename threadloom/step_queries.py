@@ -120,10 +120,10 @@ def capture_files(spark, d):
 
 
 @_query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'data:image/png;base64,' || to_base64(s_name::BLOB) END AS source, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS content FROM supplier""")
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'data:image/png;base64,' || to_base64(repeat(s_name, 9)::BLOB) END AS source, CASE WHEN s_suppkey % 2 = 0 THEN repeat(s_name, 9) END AS content FROM supplier""")
 def picture_payloads(spark, d):
     """Raster pictures as payloads and back; other kinds are refused."""
-    source = files.as_data_url(F.col("s_name").cast("binary"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("image/png")).otherwise(F.lit("image/svg+xml")))
+    source = files.as_data_url(F.repeat("s_name", F.lit(9)).cast("binary"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("image/png")).otherwise(F.lit("image/svg+xml")))
     return _t(spark, d, "supplier").select("s_suppkey", source.alias("source")).select("s_suppkey", "source", files.from_data_url(F.col("source")).cast("string").alias("content"))
 
 
