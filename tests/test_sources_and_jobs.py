@@ -197,3 +197,30 @@ def test_long_threads_and_wide_characters(spark):
 
     one = spark.createDataFrame([("a😀b", "c")], "x string, y string").select(tx.stable_id(F.col("x"), F.col("y")).alias("id")).first().id
     assert one == "msg-3zhu8c"
+
+
+def test_shared_names_and_banners(spark, tmp_path):
+    rows = frame(spark, [direct("a", "first"), direct("b", "second")])
+    other = F.array(F.struct(F.lit("x < y").alias("body"), F.lit("<p onclick='z()'>rich</p>").alias("body_html")), F.struct(F.lit("x < y").alias("body"), F.lit(None).cast("string").alias("body_html")))
+    rows = rows.withColumn("quoted_variants", F.when(F.col("id") == "b", other))
+    thread = rows.first().thread_id
+    boundary = spark.createDataFrame([(thread, "b", "available")], "thread_id string, message_id string, kind string")
+    html = files.conversation_html(rows, spark.createDataFrame([(thread, "Plan")], "thread_id string, subject string"), participation=boundary).first().html
+    assert html.index("first") < html.index("Your available mailbox history starts here") < html.index("second")
+    assert "Quoted copy differs (2)" in html and "<p>rich</p>" in html and "x &lt; y" in html and "onclick" not in html
+    docs = spark.createDataFrame([("t/1", "Same", "one"), ("t:1", "Same", "two"), ("t2", None, "three")], "thread_id string, subject string, html string")
+    files.export(docs, str(tmp_path / "out"), F.lit("2026-04-10").cast("date"), images=True)
+    names = [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    assert len(names) == 3 and sum("Same" in n for n in names) == 2
+    files.export(docs.limit(0), str(tmp_path / "none"), F.lit("2026-04-10").cast("date"))
+
+
+def test_many_captures(spark, tmp_path):
+    one = [(str(i), [{"position": 0}]) for i in range(5)]
+    files.write_captures(spark.createDataFrame(one, "threadId string, messages array<struct<position:int>>").coalesce(1), str(tmp_path / "c"))
+    assert {r.threadId for r in files.read_captures(spark, str(tmp_path / "c")).collect()} == {str(i) for i in range(5)}
+
+
+def test_payloads_have_no_breaks(spark):
+    row = spark.createDataFrame([(bytearray(200), "image/png")], "c binary, m string").select(files.as_data_url(F.col("c"), F.col("m")).alias("u")).first()
+    assert "\n" not in row.u and row.u.endswith("=")

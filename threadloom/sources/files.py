@@ -186,15 +186,19 @@ def conversation_html(messages: DataFrame, subjects: DataFrame, masked: bool = F
 
 
 def export(documents: DataFrame, path: str, day: Column, images: bool = False, masked: bool = False) -> None:
-    """Documents written as text, one directory a file name and thread; pictures are replaced by names unless kept.
+    """Documents written as text, one directory a file name; pictures are replaced by names unless kept.
 
-    Threads of one subject and day share a name, so the thread stands below it.
+    Threads of one subject and day would share a name: each of these has a digest of its ``thread_id`` before the subject.
     """
     if masked or not images:
         strip = markup.counted_udf(markup.strip_images)
         documents = documents.withColumn("html", strip(F.col("html"))["html"])
-    name = tx.export_name(F.coalesce("subject", F.lit("")), day, "masked" if masked else "" if images else "no-images")
-    documents.select(name.alias("file"), F.col("thread_id").alias("thread"), F.col("html").alias("value")).write.partitionBy("file", "thread").text(path)
+    subject, suffix = F.coalesce("subject", F.lit("")), "masked" if masked else "" if images else "no-images"
+    own = F.concat(F.left(F.md5(F.col("thread_id").cast("binary")), F.lit(12)), F.lit(" "), subject)
+    named = documents.select(tx.export_name(subject, day, suffix).alias("name"), tx.export_name(own, day, suffix).alias("own"), F.col("html").alias("value"))
+    shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("shared"))
+    file = F.when(F.col("shared"), F.col("own")).otherwise(F.col("name"))
+    named.join(shared, "name", "left").select(file.alias("file"), "value").write.partitionBy("file").text(path)
 
 
 # --- attachment store ---------------------------------------------------------------------

@@ -139,7 +139,8 @@ def stored_files(spark, d):
     return store.rows().select("key", F.col("content").cast("string").alias("content"))
 
 
-@_query("SELECT n_nationkey::VARCHAR AS thread_id, 'conversation-' || CASE WHEN n_nationkey < 2 THEN 'Same' ELSE n_name END || '-2026-04-10-no-images.html' AS file, '<p>image-1.png</p>' || n_nationkey AS html FROM nation")
+@_query("""
+SELECT 'conversation-' || CASE WHEN n_nationkey < 2 THEN left(md5(n_nationkey::VARCHAR), 12) || ' Same' ELSE n_name END || '-2026-04-10-no-images.html' AS file, '<p>image-1.png</p>' || n_nationkey AS html FROM nation""")
 def exported_files(spark, d):
     """Documents in files of their names, pictures by name; two threads share a subject and a day and stay apart."""
     k = F.col("n_nationkey")
@@ -147,9 +148,8 @@ def exported_files(spark, d):
     docs = _t(spark, d, "nation").select(k.cast("string").alias("thread_id"), F.when(k < 2, F.lit("Same")).otherwise(F.col("n_name")).alias("subject"), doc.alias("html"))
     path = folder(spark)
     files.export(docs, path, F.lit("2026-04-10").cast("date"))
-    back = spark.read.option("recursiveFileLookup", False).schema("value string, file string, thread string").text(path, wholetext=True)
-    plain = F.regexp_replace(F.rtrim("value"), r"<span[^>]*>|</span>|\n$", "")
-    return back.select(F.col("thread").alias("thread_id"), "file", plain.alias("html"))
+    back = spark.read.schema("value string, file string").text(path, wholetext=True)
+    return back.select("file", F.regexp_replace("value", r"<span[^>]*>|</span>|\n\z", "").alias("html"))
 
 
 # --- splitting ----------------------------------------------------------------------------
