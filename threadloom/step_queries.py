@@ -364,7 +364,7 @@ def container_marks(spark, d):
 
 @_query("SELECT conv_id::VARCHAR AS thread_id, 's2' AS session, count(*) AS messages, count(DISTINCT role) AS people FROM conversations WHERE trim(text) <> '' GROUP BY 1")
 def streamed_threads(spark, d):
-    """Conversations as a stream of containers. A first session holds the first turn alone and is left for a second with all; every container comes twice, and the stream is stopped and taken up again between."""
+    """Conversations as a stream of containers. A first session holds the first turn alone and is left for a second with all; every container comes twice, and the stream is stopped and taken up again between."""
     rows, path = turns(spark, d), folder(spark)
     second = rows.withColumns({"session": F.lit("s2"), "seq": F.col("seq") + 1_000})
     first = rows.where("seq = 0").withColumn("session", F.lit("s1"))
