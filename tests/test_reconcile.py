@@ -124,7 +124,13 @@ def test_near_copies_are_found_wherever_words_are_put_in(spark):
     texts += [(10 + n, " ".join([*said, *["and"] * n]), "en") for n in range(6, 10)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     want = sorted((a, b) for a, t, _ in texts for b, u, _ in texts if None not in (a, b) and a < b and (rc.near_copy(t.lower(), u.lower()) or (a, b) == (8, 9)))
-    assert sorted(map(tuple, rc.near_copy_pairs(docs).collect())) == want
+    classes = list(map(tuple, rc.near_copy_classes(docs).collect()))
+    of = {b: a for kind, a, b in classes if kind == "same"}
+    same = lambda a: [a, *[b for b, c in of.items() if c == a]]
+    copies = {(a, b) for x in {*of.values()} for a in same(x) for b in same(x) if a < b}
+    across = {(min(a, b), max(a, b)) for kind, x, y in classes if kind == "longer" for a in same(x) for b in same(y)}
+    assert sorted(copies | across) == want and len(set(classes)) == len(classes)
+    assert all(a == min(same(a)) and a not in of for _, a, _ in classes)
     assert {(0, 1), (0, 2), (0, 3), (0, 5), (0, 7), (0, 16), (0, 17)} <= set(want) and not {(0, 4), (0, 6), (0, 18)} & set(want)
     assert rc.near_copies(docs)[0].select("body").distinct().count() == 11
 

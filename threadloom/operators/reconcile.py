@@ -9,6 +9,7 @@ every pair, and runs for each thread where the thread's rows are.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
 from ..functions.markup import nfkc
+from ..functions.storage import checkpoint
 from ..schema import MESSAGE
 
 # Fixed values, in milliseconds and characters.
@@ -30,6 +32,8 @@ SKEW, QUARTER, LEAST_SHIFT, MOST_SHIFT = 300_000, 900_000, 840_000, 14 * 3_600_0
 MINUTE = 60_000
 LONG, SPECIFIC, EXACT, CONFIRMED, ESTIMATED = 160, 40, 24, 12, 100
 NEAR_RATIO = 0.85
+#: One in so many words of a text is marked in each of its words of bits (powers of two).
+MARK_SHARES = (4, 16, 128)
 _CHANGES = re.compile(r"\d|^(?:no|not|never|cancel|cancelled|revoked|reject|rejected|instead|except)$", re.I)
 _WORD = re.compile(r"(?:[^\W_]|['-])+")
 _NOISE = [re.compile(p.replace(r"\z", r"\Z")) for p in tx.NOISE]
@@ -407,6 +411,16 @@ def near_copy_col(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= LONG) & pair
 
 
+def _marks(ranks: Column) -> list[Column]:
+    """Three words of 64 bits, each of a share of the hashes: if one text holds all words of another, its bits include the other's.
+
+    The shares suit texts of about 200, 700 and 6000 different words; fuller words of bits tell less, and never exclude a pair wrongly.
+    """
+    kept = lambda share: F.filter(ranks, lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(share - 1)) == 0)
+    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.aggregate(kept(share), F.lit(0).cast("long"), lambda s, r: s.bitwiseOR(bit(r))).alias(f"m{share}") for share in MARK_SHARES]
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """X4 over a whole table: (members: ``body``, ``id``; pairs: ``few``, ``many``).
 
@@ -414,7 +428,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     one with words put in. Its candidates are complete: all words of the shorter are in the
     longer, which has at most ``1 - NEAR_RATIO`` of its own besides. So in any order of words,
     the shorter's first is among as many first ones of the longer and one more; the order is
-    by length, as long words are rare. Null keys are left out.
+    by length, as long words are rare. Lists are cut in blocks by the number of words, and
+    only candidates whose bits include the shorter's (``_marks``) take their texts along. Null keys are left out.
     """
     whole = docs.where(F.col(key).isNotNull() & (F.length(text) >= LONG)).select(F.col(key).alias("id"), F.lower(text).alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))
@@ -422,26 +437,41 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     rank = lambda x: F.shiftleft(-F.least(F.length(x), F.lit(127)).cast("long"), 56).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 56) - 1)))
     order = lambda w: F.sort_array(F.array_distinct(F.transform(w, rank)))
     rest = lambda n: (n - F.ceil(NEAR_RATIO * n - 1e-9) + 1).cast("int")
-    read = whole.select("id", tx.let(words, lambda w: F.struct(body(w).alias("body"), F.size(w).alias("n"), F.slice(order(w), F.lit(1), rest(F.size(w))).alias("first"))).alias("r"))
-    bodies = read.groupBy("r.body").agg(F.min("id").alias("id"), F.first("r.n").alias("n"), F.first("r.first").alias("first"))
-    few = bodies.where("n > 0").select(F.get("first", F.lit(0)).alias("word"), F.col("n").alias("few_n"), F.struct("body", "id").alias("few"))
-    many = bodies.select(F.explode("first").alias("word"), F.col("n").alias("many_n"), F.struct("body", "id").alias("many"))
-    likely = few.join(many, "word").where((F.col("few_n") < F.col("many_n")) & (F.col("few_n") >= NEAR_RATIO * F.col("many_n"))).select("few", "many")
-
-    def texts(side: str) -> DataFrame:
-        wanted = likely.select(f"{side}.*").distinct()
-        return whole.join(wanted, "id").where(body(words) == F.col("body")).groupBy("body").agg(F.first("text").alias(f"{side}_text")).withColumnRenamed("body", side)
-
-    pairs = likely.select(F.col("few.body").alias("few"), F.col("many.body").alias("many")).join(texts("few"), "few").join(texts("many"), "many")
-    return read.select("r.body", "id"), pairs.where(near_copy_col(F.col("few_text"), F.col("many_text"))).select("few", "many")
-
-
-def near_copy_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same as pairs of keys, (a, b) with a < b: members of one body, and of two bodies that are a pair."""
+    told = lambda w: tx.let(order(w), lambda o: F.struct(F.slice(o, F.lit(1), rest(F.size(w))).alias("first"), *_marks(o)))
+    read = whole.select("id", tx.let(words, lambda w: F.struct(body(w).alias("body"), F.size(w).alias("n"), told(w).alias("told"))).alias("r"))
+    bodies = read.groupBy("r.body").agg(F.min("id").alias("id"), F.first("r.n").alias("n"), F.first("r.told").alias("told"))
+    bodies = checkpoint(bodies.where("n > 0").withColumn("no", F.monotonically_increasing_id()))
+
+    marks = [f"m{share}" for share in MARK_SHARES]
+    block = F.floor(F.log(F.col("n").cast("double")) / -math.log(NEAR_RATIO) + 1e-9)
+    side = lambda x: [F.col("n").alias(f"{x}_n"), F.col("no").alias(x), *[F.col(f"told.{m}").alias(f"{x}_{m}") for m in marks]]
+    few = bodies.select(F.get("told.first", F.lit(0)).alias("word"), F.explode(F.array(block, block + 1)).alias("block"), *side("few"))
+    many = bodies.select(F.explode("told.first").alias("word"), block.alias("block"), *side("many"))
+    fits = (F.col("few_n") < F.col("many_n")) & (F.col("few_n") >= NEAR_RATIO * F.col("many_n"))
+    for m in marks:
+        fits = fits & (F.col(f"few_{m}").bitwiseAND(F.col(f"many_{m}")) == F.col(f"few_{m}"))
+    likely = checkpoint(few.join(many, ["word", "block"]).where(fits).select("few", "many"))
+
+    asked = likely.select(F.col("few").alias("no")).union(likely.select("many")).distinct().join(bodies.select("no", "id", "body"), "no")
+    held = whole.join(asked, "id").where(body(words) == F.col("body")).groupBy("no").agg(F.first("body").alias("body"), F.first("text").alias("text"))
+    held = checkpoint(held)
+    texts = lambda x: held.select(F.col("no").alias(x), F.col("body").alias(f"{x}_body"), F.col("text").alias(f"{x}_text"))
+    pairs = likely.join(texts("few"), "few").join(texts("many"), "many").where(near_copy_col(F.col("few_text"), F.col("many_text")))
+    return read.select("r.body", "id"), pairs.select(F.col("few_body").alias("few"), F.col("many_body").alias("many"))
+
+
+def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same by the least key of each body, a row each: ``relation``, ``a``, ``b``.
+
+    'same': ``b`` has the words of the body of ``a``; 'longer': the body of ``b`` is that of ``a`` with words put in.
+    Rows grow with the members and the pairs of bodies, not with the square of a group of copies.
+    """
     members, pairs = near_copies(docs, key, text)
-    a, b = members.withColumnRenamed("id", "a"), members.withColumnRenamed("id", "b")
-    across = pairs.join(a.withColumnRenamed("body", "few"), "few").join(b.withColumnRenamed("body", "many"), "many").where("a <> b")
-    return a.join(b, "body").where("a < b").select("a", "b").unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    least = checkpoint(members.groupBy("body").agg(F.min("id").alias("a")))
+    same = members.join(least, "body").where("id <> a").select(F.lit("same").alias("relation"), "a", F.col("id").alias("b")).distinct()
+    few = pairs.join(least.withColumnRenamed("body", "few"), "few")
+    across = few.join(least.select(F.col("body").alias("many"), F.col("a").alias("b")), "many").where("a <> b")
+    return same.unionByName(across.select(F.lit("longer").alias("relation"), "a", "b").distinct())
 
 
 def copy_groups(messages: DataFrame, least: int = EXACT) -> DataFrame:

@@ -505,17 +505,19 @@ def offset_vote(spark, d):
 
 
 @_query(r"""
-WITH c AS (SELECT doc_id, lang, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}''-]+') AS w FROM documents WHERE length(text) >= 160),
-k AS (SELECT doc_id, lang, t, w, w[1] AS f, w[2] AS g, w[len(w)] AS z FROM c),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.w) <= len(b.w) THEN a.w ELSE b.w END AS few, CASE WHEN len(a.w) <= len(b.w) THEN b.w ELSE a.w END AS many
-  FROM k a JOIN k b ON a.lang = b.lang AND a.f = b.f AND a.g = b.g AND a.z = b.z AND a.doc_id < b.doc_id WHERE least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w))),
+WITH c AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}''-]+') AS w FROM documents WHERE length(text) >= 160),
+k AS (SELECT w, len(w) AS n, min(doc_id) AS id FROM c GROUP BY w),
+l AS (SELECT id, w, n, unnest(list_distinct(w[1:n - ceil(0.85 * n)::BIGINT + 1])) AS f FROM k),
+p AS (SELECT a.id AS a, b.id AS b, a.w AS few, b.w AS many FROM k a JOIN l b ON a.w[1] = b.f
+  WHERE a.n < b.n AND a.n >= 0.85 * b.n AND list_contains(b.w[a.n:], a.w[a.n]) AND list_has_all(b.w, a.w)),
 r AS (SELECT a, b, list_reduce(list_prepend({'at': 0::BIGINT, 'w': '', 'ok': true}, list_transform(many, lambda x: {'at': 0::BIGINT, 'w': x, 'ok': true})),
   lambda s, x: CASE WHEN few[s.at + 1] IS NOT DISTINCT FROM x.w THEN {'at': s.at + 1, 'w': '', 'ok': s.ok}
     ELSE {'at': s.at, 'w': '', 'ok': s.ok AND NOT regexp_matches(x.w, '[0-9]|^(?:no|not|never|cancel|cancelled|revoked|reject|rejected|instead|except)$')} END) AS s, len(few) AS n FROM p)
-SELECT a, b FROM r WHERE s.at = n AND s.ok""")
+SELECT 'longer' AS relation, a, b FROM r WHERE s.at = n AND s.ok
+UNION ALL SELECT DISTINCT 'same', id, doc_id FROM c JOIN k USING (w) WHERE doc_id <> id""")
 def near_copy(spark, d):
-    """Insertions that change no sense. The SQL is narrower: it is blocked on language, first two words and last word."""
-    return reconcile.near_copy_pairs(_t(spark, d, "documents"))
+    """Insertions that change no sense, between bodies, and each body's copies. The SQL keeps pairs whose first and last word may be the longer one's."""
+    return reconcile.near_copy_classes(_t(spark, d, "documents"))
 
 
 @_query("""
