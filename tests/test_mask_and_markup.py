@@ -111,3 +111,36 @@ def test_noise_in_both_forms(spark):
     ]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", tx.core_text(F.col("t")).alias("c")).collect()
     assert {r.n: r.c for r in rows} == {i: rc.core(t) for i, t in enumerate(texts)}
+
+
+def test_clipped_cores_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from threadloom import queries
+
+    texts = [
+        None, "", " \n", "...", " … .", ">", "Hello there.", "> hi\n> there", "a\u2007b", "hi\nWith", "hi there\nbest", "hi\nKind \n", "a\n many ", "hi\nthanks &",
+    ]
+    rows = [(2 * i + odd, t) for i, t in enumerate(texts) for odd in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in queries.QUERIES["clipped_cores"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.SQL["clipped_cores"]).fetchall()) and len(got) == len(rows)
+
+
+def test_sign_off_ends_at_blank_lines(spark):
+    from threadloom.operators import reconcile as rc
+
+    cores = {
+        "hi\nWith\n\nKind regards,\nAna": "hi with", "hi\nthanks &\n \nRegards": "hi thanks &", "hi\nWith\nkind regards\nAna": "hi", "hi\n\nThanks &\nRegards\nAna": "hi", "hi\nMany\u2007thanks!\nAna": "hi",
+        "\n\nKind regards,\nAna": "kind regards, ana",
+    }
+    rows = spark.createDataFrame([(t,) for t in cores], "t string").select("t", tx.core_text(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == cores == {t: rc.core(t) for t in cores}
+
+
+def test_long_runs_before_a_notice(spark):
+    texts = ["hi" + "." * 9000 + " [Message clipped]", "hi" + " ." * 9000 + "\n[Message clipped] View entire message"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.core_text(F.col("t")).alias("c"), tx.presentation(F.col("t")).alias("p")).collect()
+    assert [tuple(r) for r in rows] == [("hi", "hi")] * 2
