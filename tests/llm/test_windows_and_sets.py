@@ -1,12 +1,13 @@
 """Near duplicates, repeated windows and decontamination against brute force."""
 
+import gc
 import random
 import time
 
 import numpy as np
 import pytest
 
-from threadloom.llm import decontaminate, ngram_join, sketch, substring_dedup, tokens
+from threadloom.llm import common, decontaminate, ngram_join, sketch, substring_dedup, tokens
 
 
 def corpus(seed, n=120):
@@ -104,6 +105,19 @@ def test_null_and_repeated_ids(spark):
     assert got == {near(a, 0): 3, near(a, 1): 3, near(a, 2): 3, near(b, 0): 5, near(b, 1): 5}
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    runtime, called = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), []
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, 8 << 20)  # 64 MB that nothing refers to
+    gc.collect()
+    before = used()
+    common.tidy(spark)
+    assert used() < before - (48 << 20)
+    monkeypatch.setattr(ngram_join, "tidy", called.append)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")
+    assert ngram_join.classes(df).count() == 2 and called
+
+
 def test_chain_of_links(spark):
     base = [f"k{i}" for i in range(200)]
     docs = [" ".join(base[:-1 - 4 * i][4 * i :] + [f"n{i}_{k}" for k in range(3 * i)]) for i in range(12)]

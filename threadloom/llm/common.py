@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop what earlier jobs have left behind, and give the memory back to the system.
+
+    Spark removes shuffles, broadcasts and plans that nothing refers to any more only when the
+    driver's JVM happens to collect its garbage, which a heap with room puts off; and what many
+    short threads have freed stays with the C library until it is told to return it.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    objects, server = spark.sparkContext._gateway.new_array, jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    asked = objects(jvm.java.lang.Object, 4)
+    asked[0], asked[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    with contextlib.suppress(Py4JJavaError):  # other JVMs, and older ones, have no such command
+        call.invoke(server, asked)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 

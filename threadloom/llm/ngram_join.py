@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, tokens
-from .common import carried, materialize, unpacked
+from .common import carried, materialize, tidy, unpacked
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -299,6 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, led: DataFrame) -> DataFrame:
     """(id, label) of the components of all links."""
     labels = components(led)
+    tidy(sets.sparkSession)
     fronts = _fronts(sets, led, labels)
     heads = materialize(_verified(_met(fronts), sets), "ngram-leaders")
     edges = led.select("a", "b")
@@ -314,6 +315,7 @@ def _links(sets: DataFrame, led: DataFrame) -> DataFrame:
     open_ = materialize(gap.select(F.col("a").alias("h"), F.col("b").alias("g"), F.col("d").alias("far")), "ngram-open")
     if open_.isEmpty():
         return labels
+    tidy(sets.sparkSession)
     more = materialize(_verified(_between(fronts, labels, open_), sets).where("link").select("a", "b"), "ngram-links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
@@ -324,6 +326,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node's neighbours and then follows labels to
     their own, so long chains shrink by halves; rounds end when nothing changes.
     """
+    tidy(edges.sparkSession)
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     while True:
@@ -373,6 +376,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     reps = materialize(several.withColumn("id", F.monotonically_increasing_id()), "ngram-reps")
     sets = _sift(_sift(reps))
     labels = _links(sets, _following(sets, sets.count()))
+    tidy(df.sparkSession)
     named = reps.select("s1", "s2", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     dim = named.select("s1", "s2", "label").join(least, "label").select("s1", "s2", F.col("label").alias("class"), "component_id")
