@@ -59,6 +59,15 @@ def test_cache_generations(library, monkeypatch):
         assert b.encode(text) == library.encode(text, add_special_tokens=False).ids and b.decode(b.encode(text)) == " ".join(b.token[i] for i in b.encode(text))
 
 
+def test_words_that_need_no_splitting(library, monkeypatch):
+    words = token_files.WordCache(PATH)
+    monkeypatch.setattr(words, "_ids", lambda texts, tokenizer=None, ids=words._ids: ids(texts, tokenizer) if tokenizer or all(t[0] in token_files._MARKS for t in texts) else 1 / 0)
+    texts = ["ab", "straßenña$$$ éàíÿb", "é\u00e0!! füreinaustau.&&& öö?", "doosos### doosos ab.,;:!? ß"]
+    got, ends = words.encode([t.encode() for t in texts], 1)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [got[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == want
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 50])
 def test_token_files(spark, tmp_path, library, monkeypatch, shard):
     monkeypatch.setattr(token_files, "SHARD_IDS", shard)
